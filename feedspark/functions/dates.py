@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedspark.functions.text import first_present, utrim
 
+_DAY = r"^\d{4}-\d{2}-\d{2}"
+_TIME = r"[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?"
 _OFFSET = r"([+-])(\d{2}):?(\d{2})?(?::?(\d{2}))?"
 _ISO = (
     r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))"
     r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(?: ?" + _OFFSET + r")?)?$"
 )
-_ISO_SHAPE = "$1-$2$4-$3$5|$6:$7:$8.$9|$10|$11|$12|$13"
+# Matched pieces are laid out with a separator that no date text holds.
+_SEP = "\x01"
+_ISO_SHAPE = _SEP.join(("$1-$2$4-$3$5", "$6", "$7", "$8", "$9", "$10", "$11", "$12", "$13"))
 
 # RFC 2822 month names and zone abbreviations with their offsets in minutes.
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -31,7 +37,7 @@ _RFC = (
     r"(\d{1,2})[:.](\d{1,2})(?:[:.](\d{1,2}))?"
     r"(?:\s*([+-])(\d{2})(\d{2})|\s+([a-z]\S*|\S+))?(?:\s.*)?$"
 )
-_RFC_SHAPE = "$1$4|$2$3|$5|$6:$7:$8|$9|$10|$11|$12"
+_RFC_SHAPE = _SEP.join(("$1$4", "$2$3", "$5", "$6", "$7", "$8", "$9", "$10", "$11", "$12"))
 
 
 def _literal_map(pairs: dict[str, int]) -> Column:
@@ -43,51 +49,76 @@ def _utc(day: Column, hms: Column) -> Column:
     return F.concat(day, F.lit("T"), hms, F.lit("Z")).try_cast("timestamp")
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and hand it to ``use``; a plain reference would compute it per use."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _pieces(text: Column, pattern: str, shape: str, use: Callable[[Column], Column]) -> Column:
+    """Match once: text that does not match stays in one piece and gives null."""
+    count = shape.count(_SEP) + 1
+    laid_out = F.split(F.regexp_replace(text, pattern, shape), _SEP, -1)
+    return _bind(laid_out, lambda p: F.when(F.size(p) == count, use(p)))
+
+
+def _clock(hour: Column, minute: Column, second: Column, fraction: Column | None = None) -> Column:
+    parts = F.concat_ws(":", *[F.lpad(c, 2, "0") for c in (hour, minute, second)])
+    return parts if fraction is None else F.concat(parts, F.lit("."), F.rpad(fraction, 6, "0"))
+
+
 def _shift(instant: Column, sign: Column, hours: Column, minutes: Column, seconds: Column | None = None) -> Column:
     """Move a wall-clock reading with a ``+hh:mm`` offset to UTC."""
 
     def number(part: Column) -> Column:
-        return F.coalesce(part.try_cast("int"), F.lit(0))
+        return F.coalesce(part.try_cast("bigint"), F.lit(0))
 
     total = number(hours) * 3600 + number(minutes) * 60 + (number(seconds) if seconds is not None else 0)
-    east = F.when(sign == "-", -total).otherwise(total)
-    return F.timestamp_micros(F.unix_micros(instant) - east.cast("bigint") * 1_000_000)
+    east = F.when(sign == "+", total).otherwise(-total) * 1_000_000
+    return F.when(sign == "", instant).otherwise(F.timestamp_micros(F.unix_micros(instant) - east))
 
 
 def _parse_iso(text: Column) -> Column:
     zulu = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    parts = F.split(F.regexp_replace(zulu, _ISO, _ISO_SHAPE), r"\|", -1)
-    clock = F.split(parts[1], "[:.]", -1)
-    hms = F.concat_ws(
-        ":", *[F.lpad(clock[i], 2, "0") for i in range(2)],
-        F.concat(F.lpad(clock[2], 2, "0"), F.lit("."), F.rpad(clock[3], 6, "0")),
+    return _pieces(
+        zulu, _ISO, _ISO_SHAPE,
+        lambda p: _shift(_utc(p[0], _clock(p[1], p[2], p[3], p[4])), p[5], p[6], p[7], p[8]),
+    )
+
+
+def _parse_common(text: Column) -> Column:
+    """The frequent ISO forms, which a plain cast reads; anything it refuses is tried in general."""
+
+    def shaped(pattern: str, suffix: str) -> Column:
+        return F.when(F.rlike(text, F.lit(pattern)), F.concat(text, F.lit(suffix)).try_cast("timestamp"))
+
+    return F.coalesce(
+        shaped(_DAY + _TIME + r"(?:Z|[+-]\d{2}:\d{2})$", ""), shaped(_DAY + _TIME + "$", "Z"),
+        shaped(_DAY + "$", "T00:00:00Z"),
     )
-    instant = _shift(_utc(parts[0], hms), parts[2], parts[3], parts[4], parts[5])
-    return F.when(F.rlike(zulu, F.lit(_ISO)), instant)
 
 
 def _parse_rfc(text: Column) -> Column:
-    parts = F.split(F.regexp_replace(text, _RFC, _RFC_SHAPE), r"\|", -1)
     month_number = {name: i + 1 for names in (_MONTHS, _FULL_MONTHS) for i, name in enumerate(names)}
-    month = F.try_element_at(_literal_map(month_number), F.lower(parts[1]))
-    year = parts[2].try_cast("int")
-    year = F.when(year > 99, year).when(year > 68, year + 1900).otherwise(year + 2000)
-    day = F.concat_ws(
-        "-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(parts[0], 2, "0")
-    )
-    clock = F.split(parts[3], ":", -1)
-    hms = F.concat_ws(":", *[F.lpad(clock[i], 2, "0") for i in range(3)])
-    named = F.coalesce(F.try_element_at(_literal_map(_ZONE_MINUTES), F.upper(parts[7])), F.lit(0))
-    local = F.when(month.isNotNull(), _utc(day, hms))
-    shifted = _shift(local, parts[4], parts[5], parts[6])
-    instant = F.timestamp_micros(F.unix_micros(shifted) - named.cast("bigint") * 60_000_000)
-    return F.when(F.rlike(text, F.lit(_RFC)), instant)
+
+    def read(p: Column) -> Column:
+        month = F.try_element_at(_literal_map(month_number), F.lower(p[1]))
+        year = p[2].try_cast("int")
+        year = F.when(year > 99, year).when(year > 68, year + 1900).otherwise(year + 2000)
+        day = F.concat(
+            F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"),
+            F.lpad(p[0], 2, "0"),
+        )
+        local = _shift(_utc(day, _clock(p[3], p[4], p[5])), p[6], p[7], p[8])
+        zone = F.try_element_at(_literal_map(_ZONE_MINUTES), F.upper(p[9])).cast("bigint")
+        moved = F.timestamp_micros(F.unix_micros(local) - zone * 60_000_000)
+        return F.when(zone.isNull() | (zone == 0), local).otherwise(moved)
+
+    return _pieces(text, _RFC, _RFC_SHAPE, read)
 
 
 def parse_instant(text: Column) -> Column:
     """Timestamp of a date text; a reading without zone counts as UTC."""
-    trimmed = utrim(text)
-    return F.coalesce(_parse_iso(trimmed), _parse_rfc(trimmed))
+    return _bind(utrim(text), lambda t: F.coalesce(_parse_common(t), _parse_iso(t), _parse_rfc(t)))
 
 
 def parts_to_instant(parts: Column) -> Column:
@@ -107,9 +138,8 @@ def entry_instant(published_parsed: Column, published: Column, updated_parsed: C
 
 def display_instant(text: Column) -> Column:
     """``YYYY-MM-DD HH:MM UTC``; text that is no date is shown as it is, absence as a dash."""
-    trimmed = utrim(text)
-    shown = F.date_format(parse_instant(trimmed), "yyyy-MM-dd HH:mm 'UTC'")
-    return F.when(text.isNull() | (text == ""), F.lit("-")).otherwise(F.coalesce(shown, trimmed))
+    shown = F.date_format(parse_instant(text), "yyyy-MM-dd HH:mm 'UTC'")
+    return F.when(text.isNull() | (text == ""), F.lit("-")).otherwise(F.coalesce(shown, utrim(text)))
 
 
 def hours_before(now: Column, hours: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.text import utrim
 
-_CONFIG = (
+CONFIG = (
     "ingestion struct<max_article_age_hours:int>, "
     "publishing struct<max_articles_per_run:int, interval_seconds:int>, "
     "llm struct<enabled:boolean, default_target_language:string, max_articles_per_run:int, batch_size:int, "
@@ -32,7 +32,7 @@ def as_bool(c: Column) -> Column:
 
 
 def scan_config(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_CONFIG).option("multiLine", True).json(path)
+    return spark.read.schema(CONFIG).option("multiLine", True).json(path)
 
 
 def run_settings(config: DataFrame) -> DataFrame:
