@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedspark.catalog import feeds
+from feedspark.catalog import editorial, feeds, stored, usage
 from feedspark.session import REQUIRED_CONF
 
-_MODULES = (feeds,)
+_MODULES = (feeds, stored, editorial, usage)
 
 
 def _in_utc(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
