@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedspark.catalog import editorial, feeds, stored, usage
+from feedspark.catalog import editorial, feeds, posts, reports, stored, streams, usage
 from feedspark.session import REQUIRED_CONF
 
-_MODULES = (feeds, stored, editorial, usage)
+_MODULES = (feeds, stored, editorial, usage, posts, reports, streams)
 
 
 def _in_utc(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

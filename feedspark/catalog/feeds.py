@@ -19,6 +19,7 @@ from feedspark.functions.dates import display_instant, entry_instant
 from feedspark.functions.text import html_escape
 from feedspark.operators.entries import newest_per_source, normalize_entries, within_source_age
 from feedspark.operators.ingest import (
+    INGEST_ORDER,
     as_stored,
     insert_events,
     insert_new,
@@ -49,6 +50,7 @@ def page_entries(spark: SparkSession, d: str) -> DataFrame:
         "source_id": F.concat_ws(
             "@", F.regexp_extract("url", _PATH, 1), F.regexp_extract("url", _HOST, 1)
         ),
+        "run_id": F.lit("r"),
         "pos": F.col("page_id"),
         "link": F.concat(F.lit(" \t"), "url", F.lit("\n")),
         "title": F.concat(F.lit("\n "), F.regexp_extract("html", _TITLE, 1), F.lit(" ")),
@@ -133,13 +135,14 @@ def feed_documents(spark: SparkSession, d: str) -> DataFrame:
     broken = F.col("doc") % 7 == 3
     return body.select(
         F.concat(F.lit("feed"), "doc").alias("source_id"),
+        F.lit("r").alias("run_id"),
         F.when(broken, F.substring(whole, F.lit(1), F.length(whole) - 12)).otherwise(whole).alias("body"),
     )
 
 
 def feed_xml_parse(spark: SparkSession, d: str) -> DataFrame:
     entries, _ = parse_feeds(feed_documents(spark, d))
-    return entries.select(
+    return entries.drop("run_id").select(
         "source_id", "pos", "link", "title", "id", "published",
         F.md5(F.get("content", 0)["value"]).alias("content_md5"),
         F.array_join(F.transform("tags", lambda t: t["term"]), ",").alias("tags"),
@@ -157,7 +160,7 @@ FROM pages WHERE page_id // 10 % 7 <> 3
 
 def feed_xml_warnings(spark: SparkSession, d: str) -> DataFrame:
     _, warnings = parse_feeds(feed_documents(spark, d))
-    return warnings
+    return warnings.drop("run_id")
 
 
 FEED_WARNINGS_SQL = """
@@ -227,6 +230,7 @@ def source_top_n(spark: SparkSession, d: str) -> DataFrame:
     number = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     dated = table(spark, d, "documents").select(
         F.col("source").alias("source_id"),
+        F.lit("r").alias("run_id"),
         F.col("doc_id").alias("pos"),
         F.when(F.col("doc_id") % 5 != 0, F.timestamp_seconds(F.lit(1704067200) + F.col("n_chars"))).alias("entry_at"),
         F.when(number % 4 != 3, number).alias("rss_max_items"),
@@ -290,7 +294,7 @@ FROM last WHERE back = 1
 
 
 def article_dedup(spark: SparkSession, d: str) -> DataFrame:
-    firsts = first_per_key(incoming(spark, d), ["id"], ["domain_rank", "source_rank", "pos"])
+    firsts = first_per_key(incoming(spark, d), ["id"], INGEST_ORDER)
     return firsts.select("id", "domain_id", "source_id", "canonical_url", "pos")
 
 
@@ -482,6 +486,7 @@ def fetch_log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(
         F.concat(F.lit("s"), "user_id").alias("source_id"),
         F.col("ts").cast("timestamp").alias("at"),
+        F.lit("r").alias("run_id"),
         F.col("event_id").alias("seq"),
         ok.alias("ok"),
         F.when(ok, F.lit(200)).when(F.col("event_id") % 2 == 0, F.lit(500)).alias("http_status"),

@@ -114,6 +114,7 @@ def incoming(spark: SparkSession, d: str) -> DataFrame:
         F.lit(None).cast("string").alias("published_at"),
         lang_rank(F.col("lang")).alias("domain_rank"),
         F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("source_rank"),
+        F.lit("r").alias("run_id"),
         F.lit(0).cast("bigint").alias("sort_key"),
         F.col("doc_id").alias("pos"),
     )

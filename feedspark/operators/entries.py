@@ -41,7 +41,7 @@ def within_source_age(dated: DataFrame, now: Column) -> DataFrame:
 
 
 def newest_per_source(dated: DataFrame, largest_cap: int) -> DataFrame:
-    """Apply each source's item cap: newest first where it sorts, feed order otherwise.
+    """Apply each source's item cap to each of its fetches: newest first where it sorts, feed order otherwise.
 
     A source without a cap keeps all rows and needs no ranking at all.  ``largest_cap`` is the
     biggest configured cap; it lets each map task drop rows that cannot survive.
@@ -49,7 +49,7 @@ def newest_per_source(dated: DataFrame, largest_cap: int) -> DataFrame:
     cap = F.col("rss_max_items")
     sort_key = F.when(F.col("rss_sort_by_published_desc"), F.col("entry_at"))
     capped = top_n_per_group(
-        dated.filter(cap > 0), ["source_id"], [sort_key.desc_nulls_last(), F.col("pos").asc()], cap, largest_cap
+        dated.filter(cap > 0), ["source_id", "run_id"], [sort_key.desc_nulls_last(), F.col("pos").asc()], cap, largest_cap
     )
     return dated.filter(cap.isNull()).unionByName(capped)
 
@@ -102,6 +102,7 @@ def normalize_entries(entries: DataFrame, sources: DataFrame) -> tuple[DataFrame
         "author",
         "tags",
         entry_json(entries).alias("raw_json"),
+        "run_id",
         "domain_rank",
         "source_rank",
         "sort_key",

@@ -9,13 +9,13 @@ from feedspark.operators.ranking import spread_join
 
 
 def fold_source_health(log: DataFrame) -> DataFrame:
-    """State of each source after its log ``(source_id, at, seq, ok, http_status, ...)``.
+    """State of each source after its log, read in the order ``(at, run_id, seq)``.
 
     ``errors_since_success`` counts the failures after the last success (all of them if there was
     none).  That needs the last success first: one mergeable aggregate gives it, a salted join puts
     it next to the failures only, and a second aggregate counts.
     """
-    place = F.struct("at", "seq")
+    place = F.struct("at", "run_id", "seq")
     ok = F.col("ok")
     last_ok = F.when(ok, place)
     folded = log.groupBy("source_id").agg(
@@ -27,10 +27,10 @@ def fold_source_health(log: DataFrame) -> DataFrame:
         F.max_by(F.struct("ok", "http_status", "error_message"), place).alias("_last"),
         F.max_by(F.struct("last_item_external_id", "last_item_published_at"), last_ok).alias("_item"),
     )
-    failures = log.filter(~ok).select("source_id", "at", "seq")
+    failures = log.filter(~ok).select("source_id", "at", "run_id", "seq")
     resets = folded.filter(F.col("_last_ok").isNotNull()).select("source_id", "_last_ok")
     before_reset = (
-        spread_join(failures, resets, ["source_id"], ["at", "seq"])
+        spread_join(failures, resets, ["source_id"], ["at", "run_id", "seq"])
         .filter(place < F.col("_last_ok"))
         .groupBy("source_id")
         .agg(F.count(F.lit(1)).alias("_forgiven"))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from feedspark.operators.ranking import first_per_key, order_struct
 from feedspark.operators.state import event_rows
 from feedspark.schemas import ARTICLES
-from feedspark.session import cut_lineage
+from feedspark.session import set_aside
 
-# Configured rank of the source, then the place of the item within it.
-INGEST_ORDER = ["domain_rank", "source_rank", "sort_key", "pos"]
+# Runs one after another, sources in configured order, then the place of the item in its fetch.
+INGEST_ORDER = ["run_id", "domain_rank", "source_rank", "sort_key", "pos"]
 
 
 def item_place() -> Column:
@@ -98,11 +98,12 @@ def insert_events(stored: DataFrame, now: Column) -> DataFrame:
 
 
 def missing_link_cut(bad: DataFrame) -> DataFrame:
-    """Place of the first entry without link per source."""
-    return bad.groupBy("source_id").agg(F.min(item_place()).alias("cut"))
+    """Place of the first entry without link per fetch."""
+    return bad.groupBy(*FETCH).agg(F.min(item_place()).alias("cut"))
 
 
 PAIR = ["source_id", "source_item_external_id"]
+FETCH = ["source_id", "run_id"]
 
 
 def held_pairs(named: DataFrame, store: DataFrame) -> DataFrame:
@@ -115,27 +116,27 @@ def split_clashes(winners: DataFrame, store: DataFrame) -> tuple[DataFrame, Data
     named = winners.filter(F.col("source_item_external_id").isNotNull())
     anonymous = winners.filter(F.col("source_item_external_id").isNull())
     free = named.join(held_pairs(named, store), PAIR, "left_anti")
-    kept = first_per_key(free, PAIR, ["sort_key", "pos"])
+    kept = first_per_key(free, PAIR, ["run_id", "sort_key", "pos"])
     lost = named.join(kept.select("id"), "id", "left_anti").withColumn("defect", F.lit("external_id_conflict"))
     return kept.unionByName(anonymous), lost
 
 
 def clash_cut(insertable: DataFrame, store: DataFrame) -> DataFrame:
-    """Place of the first external-id clash per source.
+    """Place of the first external-id clash per fetch.
 
     The first of a pair keeps it and the second clashes, so only two leading rows per pair are
     ranked; Spark drops the rest of a hot pair before the shuffle.
     """
     named = insertable.filter(F.col("source_item_external_id").isNotNull())
-    nth = F.row_number().over(Window.partitionBy(*PAIR).orderBy("sort_key", "pos"))
+    nth = F.row_number().over(Window.partitionBy(*PAIR).orderBy("run_id", "sort_key", "pos"))
     leading = named.withColumn("_nth", nth).filter(F.col("_nth") <= 2)
     held = held_pairs(named, store).withColumn("_held", F.lit(True))
     clashing = leading.join(held, PAIR, "left").filter((F.col("_nth") == 2) | F.coalesce("_held", F.lit(False)))
-    return clashing.groupBy("source_id").agg(F.min(item_place()).alias("cut"))
+    return clashing.groupBy(*FETCH).agg(F.min(item_place()).alias("cut"))
 
 
 def source_cuts(articles: DataFrame, bad: DataFrame, store: DataFrame) -> DataFrame:
-    """Strict mode: where each source stops because of its first bad item.
+    """Strict mode: where each fetch of a source stops because of its first bad item.
 
     Which source inserts a shared url depends on where earlier sources stop, so cuts are found by
     repetition: each round takes the current cuts, finds what each source would insert, and then
@@ -143,8 +144,8 @@ def source_cuts(articles: DataFrame, bad: DataFrame, store: DataFrame) -> DataFr
     end, usually after two or three.  Every round is a distributed job over keys only.
     """
     rows = articles.select("id", *PAIR, *INGEST_ORDER)
-    fresh = cut_lineage(rows.join(known_ids(store, rows), "id", "left_anti"))
-    missing = cut_lineage(missing_link_cut(bad))
+    fresh = set_aside(rows.join(known_ids(store, rows), "id", "left_anti"))
+    missing = set_aside(missing_link_cut(bad))
     cuts = missing
     while True:
         survivors = before_cuts(fresh, cuts).groupBy("id").agg(F.min(ingest_place()).alias("_first"))
@@ -153,10 +154,10 @@ def source_cuts(articles: DataFrame, bad: DataFrame, store: DataFrame) -> DataFr
         unclaimed = fresh.join(survivors, "id", "left").filter(
             F.col("_first").isNull() | (ingest_place() <= F.col("_first"))
         )
-        insertable = first_per_key(unclaimed.drop("_first"), ["id", "source_id"], INGEST_ORDER)
+        insertable = first_per_key(unclaimed.drop("_first"), ["id", *FETCH], INGEST_ORDER[1:])
         found = missing.unionByName(clash_cut(insertable, store))
-        settled = cut_lineage(found.groupBy("source_id").agg(F.min("cut").alias("cut")))
-        changed = settled.join(cuts.withColumnRenamed("cut", "_was"), "source_id", "full_outer").filter(
+        settled = set_aside(found.groupBy(*FETCH).agg(F.min("cut").alias("cut")))
+        changed = settled.join(cuts.withColumnRenamed("cut", "_was"), FETCH, "full_outer").filter(
             ~F.col("cut").eqNullSafe(F.col("_was"))
         )
         if changed.isEmpty():
@@ -165,7 +166,7 @@ def source_cuts(articles: DataFrame, bad: DataFrame, store: DataFrame) -> DataFr
 
 
 def before_cuts(articles: DataFrame, cuts: DataFrame) -> DataFrame:
-    return articles.join(cuts, "source_id", "left").filter(
+    return articles.join(cuts, FETCH, "left").filter(
         F.col("cut").isNull() | (item_place() < F.col("cut"))
     ).drop("cut")
 
@@ -177,12 +178,12 @@ def ingest(
 
     By default only the bad items are set aside.  ``strict`` stops a source at its first bad item.
     """
-    keep = ["source_id", "pos", "id", "defect"]
+    keep = [*FETCH, "pos", "id", "defect"]
     if strict:
         cuts = source_cuts(articles, bad, store)
         chosen = insert_new(before_cuts(articles, cuts), store)
         items = bad.unionByName(articles.withColumn("defect", F.lit("external_id_conflict")), True)
-        stopping = items.withColumn("cut", item_place()).join(cuts, ["source_id", "cut"], "left_semi")
+        stopping = items.withColumn("cut", item_place()).join(cuts, [*FETCH, "cut"], "left_semi")
         quarantine = stopping.select(*keep)
     else:
         chosen, lost = split_clashes(insert_new(articles, store), store)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark.functions.identity import spread
-from feedspark.session import cut_lineage
+from feedspark.session import set_aside
 
 # A sorted cut up to this many rows runs as Spark's per-partition top-k; a larger one is ranked
 # with offsets, so that no single task has to hold it.
@@ -40,12 +40,12 @@ def ordered_rank(
 
     Rows are range-partitioned on (group, order) and numbered inside each range; a small table of
     range sizes gives each range its starting position.  ``order`` must be total.  The numbered
-    rows are written to the checkpoint folder, because the range borders are sampled and both
-    uses of them have to see the same ones.  Pass narrow rows and join payload back afterwards.
+    rows are written once, because the range borders are sampled and both uses of them have to see
+    the same ones.  Pass narrow rows and join payload back afterwards.
     """
     group = [F.col(c) for c in within]
     keys = [*[c.asc() for c in group], *order]
-    numbered = cut_lineage(
+    numbered = set_aside(
         df.repartitionByRange(parts or shuffle_width(df), *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_slot", F.monotonically_increasing_id())
@@ -81,18 +81,15 @@ def take_ordered(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep the row with the smallest ``order`` columns for each key.
+    """Exactly one row per key: the one with the smallest ``order`` columns.
 
-    The minimum is a map-side aggregate over narrow columns, so many copies of one key collapse
-    before the shuffle.  The join back is on key and order together, which is unique per row:
-    rows of a hot key spread over all partitions.  Keys and order columns must not be null.
+    One mergeable aggregate.  Copies of a hot key collapse in each map task, so at most one row per
+    key and task is shuffled, and the input is read once.
     """
-    if len(order) == 1:
-        winners = df.groupBy(*keys).agg(F.min(order[0]).alias(order[0]))
-    else:
-        least = df.groupBy(*keys).agg(F.min(order_struct(*[F.col(c) for c in order])).alias("_least"))
-        winners = least.select(*keys, *[F.col(f"_least.k{i}").alias(c) for i, c in enumerate(order)])
-    return df.join(winners, [*keys, *order], "left_semi")
+    rest = [c for c in df.columns if c not in keys]
+    place = order_struct(*[F.col(c) for c in order])
+    first = F.min_by(F.struct(*rest), place).alias("_first")
+    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
 
 
 def top_n_per_group(

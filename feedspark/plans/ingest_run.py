@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from feedspark.operators.entries import normalize_entries, select_entries
 from feedspark.operators.health import fold_source_health, record_fetches
-from feedspark.operators.ingest import ingest, run_summary, source_summary
+from feedspark.operators.ingest import FETCH, ingest, run_summary, source_summary
 from feedspark.operators.ranking import order_struct
 from feedspark.operators.selection import active_sources
-from feedspark.schemas import FETCH_LOG
+from feedspark.session import set_aside
 from feedspark.sources.config import feed_settings
 from feedspark.sources.connectors import ReaderRegistry
 from feedspark.sources.feeds import external_id, settle_fetches
@@ -39,15 +40,19 @@ def ingest_run(
     strict: bool = False,
     source_type: str = "rss",
     readers: ReaderRegistry | None = None,
+    stage: Callable[[DataFrame], DataFrame] = set_aside,
 ) -> IngestRun:
-    """Everything one ingest run derives from recorded fetch attempts; nothing is written here."""
+    """Everything one ingest run derives from recorded fetch attempts.
+
+    Documents are parsed once: ``stage`` keeps the chosen entries for all the results below.
+    """
     sources = active_sources(source_config, source_type)
     settings = feed_settings(sources)
     outcomes = settle_fetches(attempts, settings).join(
         sources.select(F.col("id").alias("source_id")), "source_id", "left_semi"
     )
     entries, warnings = (readers or ReaderRegistry()).get(source_type)(outcomes.filter("ok"))
-    kept = select_entries(entries, settings, now)
+    kept = stage(select_entries(entries, settings, now))
     articles, bad = normalize_entries(kept, sources)
     stored, events, quarantine = ingest(articles, bad, store, domains, now, strict=strict)
     failed = outcomes.filter(~F.col("ok")).select("source_id")
@@ -60,13 +65,14 @@ def ingest_run(
 
 def fetch_log(outcomes: DataFrame, kept: DataFrame, stopped: DataFrame | None, now: Column) -> DataFrame:
     """One row per fetch; in strict mode a source stopped by a bad item adds a failure after its success."""
-    leading = kept.groupBy("source_id").agg(
+    leading = kept.groupBy(*FETCH).agg(
         F.min_by(external_id(kept), order_struct(F.col("sort_key"), F.col("pos"))).alias("last_item_external_id")
     )
     status = F.when(F.col("ok"), F.lit(200)).otherwise(F.col("http_status"))
-    fetched = outcomes.join(leading, "source_id", "left").select(
+    fetched = outcomes.drop("body").join(leading, FETCH, "left").select(
         "source_id",
         now.alias("at"),
+        "run_id",
         F.lit(0).cast("bigint").alias("seq"),
         "ok",
         status.cast("int").alias("http_status"),
@@ -76,17 +82,10 @@ def fetch_log(outcomes: DataFrame, kept: DataFrame, stopped: DataFrame | None, n
     )
     if stopped is None:
         return fetched
-    broken = stopped.groupBy("source_id").agg(F.min("defect").alias("error_message")).select(
-        *[
-            F.col(f.name) if f.name in ("source_id", "error_message")
-            else now.alias("at") if f.name == "at"
-            else F.lit(1).cast("bigint").alias("seq") if f.name == "seq"
-            else F.lit(False).alias("ok") if f.name == "ok"
-            else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in FETCH_LOG.fields
-        ]
+    broken = stopped.groupBy(*FETCH).agg(F.min("defect").alias("error_message")).select(
+        *FETCH, "error_message", now.alias("at"), F.lit(1).cast("bigint").alias("seq"), F.lit(False).alias("ok")
     )
-    return fetched.unionByName(broken)
+    return fetched.unionByName(broken, allowMissingColumns=True)
 
 
 def refreshed_sources(sources: DataFrame, run: IngestRun, now: Column) -> DataFrame:

@@ -36,7 +36,7 @@ ENTRY_FIELDS = (
     "updated string, updated_parsed array<int>, summary string, description string, "
     "content array<struct<value:string>>, author string, tags array<struct<term:string>>"
 )
-ENTRIES = schema(f"source_id string, pos bigint, {ENTRY_FIELDS}")
+ENTRIES = schema(f"source_id string, run_id string, pos bigint, {ENTRY_FIELDS}")
 
 DOMAINS = schema(
     "domain_rank int, id string, name string, channel_id string, llm_enabled boolean, "
@@ -57,7 +57,7 @@ FETCH_ATTEMPTS = schema(
     "body string"
 )
 FETCH_LOG = schema(
-    "source_id string, at timestamp, seq bigint, ok boolean, http_status int, error_message string, "
+    "source_id string, at timestamp, run_id string, seq bigint, ok boolean, http_status int, error_message string, "
     "last_item_external_id string, last_item_published_at string"
 )
 ARTICLES = schema(

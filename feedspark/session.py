@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +50,14 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the written copy."""
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def set_aside(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and continue from the written copy.
+
+    The copy survives lost executors, is read column by column, and has a known size, so Spark can
+    decide on broadcasts from it.
+    """
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    target = f"{spark.sparkContext.getCheckpointDir()}/feedspark-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)

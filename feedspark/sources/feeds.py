@@ -103,24 +103,24 @@ def _atom_entry(entry: Column) -> Column:
 
 
 def parse_feeds(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of landed ``responses(source_id, body, ...)`` and one warning row per unreadable document.
+    """Entries of landed ``responses(source_id, run_id, body, ...)`` and one warning row per unreadable document.
 
     RSS 2.0, RSS 1.0 and Atom are read by one typed XML schema; each document is parsed once, in
     the task that scans it.
     """
     feed = responses.select(
-        "source_id", F.from_xml("body", _FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("feed")
+        "source_id", "run_id", F.from_xml("body", _FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("feed")
     )
     rss = F.coalesce(F.col("feed.channel.item"), F.col("feed.item"))
     entries = F.coalesce(
         F.transform(rss, _rss_entry), F.transform(F.col("feed.entry"), _atom_entry)
     )
-    scanned = feed.select("source_id", entries.alias("found"), F.col("feed.channel").isNotNull().alias("has_channel"))
-    rows = scanned.select("source_id", F.posexplode("found").alias("pos", "e")).select(
-        "source_id", F.col("pos").cast("bigint").alias("pos"), "e.*"
+    scanned = feed.select("source_id", "run_id", entries.alias("found"), F.col("feed.channel").isNotNull().alias("has_channel"))
+    rows = scanned.select("source_id", "run_id", F.posexplode("found").alias("pos", "e")).select(
+        "source_id", "run_id", F.col("pos").cast("bigint").alias("pos"), "e.*"
     )
     warnings = scanned.filter(F.col("found").isNull() & ~F.col("has_channel")).select(
-        "source_id", F.lit("feed_parse_warning").alias("event")
+        "source_id", "run_id", F.lit("feed_parse_warning").alias("event")
     )
     return rows, warnings
 
@@ -133,7 +133,7 @@ def external_id(entry: DataFrame) -> Column:
 def entry_json(entries: DataFrame) -> Column:
     """Raw form of an entry for storage, with parsed times as text."""
     shown = []
-    for field in [f for f in ENTRIES.names if f not in ("source_id", "pos")]:
+    for field in [f for f in ENTRIES.names if f not in ("source_id", "run_id", "pos")]:
         if field in ("published_parsed", "updated_parsed"):
             parts = entries[field]
             shown.append(F.coalesce(iso_text(parts_to_instant(parts)), F.to_json(parts)).alias(field))

@@ -35,7 +35,12 @@ def ingest_batch(
     """Insert what a micro-batch of landed fetches adds to the store under ``root``."""
     spark = attempts.sparkSession
     known = without_epoch(stored_articles(spark, root), "ingest", epoch)
-    run = ingest_run(attempts, source_config, domains, known.select(*ARTICLES.names), now)
+
+    def stage(entries: DataFrame) -> DataFrame:
+        entries.write.mode("overwrite").parquet(f"{root}/staging/ingest")
+        return spark.read.schema(entries.schema).parquet(f"{root}/staging/ingest")
+
+    run = ingest_run(attempts, source_config, domains, known.select(*ARTICLES.names), now, stage=stage)
     target = write_epoch(run.articles, root, "articles", "ingest", epoch)
     written = spark.read.schema(ARTICLES).parquet(target)
     write_epoch(insert_events(written, now), root, "events", "ingest", epoch)
