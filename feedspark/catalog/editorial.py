@@ -214,7 +214,8 @@ parsed AS (
 
 def batch_parse(spark: SparkSession, d: str) -> DataFrame:
     """First result per id of every answer, before it is compared with what was asked."""
-    return parse_batch_results(answers(spark, d).filter("ok")).select(
+    parsed = parse_batch_results(answers(spark, d)).filter(F.col("article_id").isNotNull())
+    return parsed.select(
         "batch_id", "article_id", "decision", "reason", "title", F.md5("text").alias("text_md5"), "error", "occurrences"
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedspark.functions.text import first_present, utrim
+from feedspark.functions.text import bind, first_present, utrim
 
 _DAY = r"^\d{4}-\d{2}-\d{2}"
 _TIME = r"[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?"
@@ -49,16 +49,11 @@ def _utc(day: Column, hms: Column) -> Column:
     return F.concat(day, F.lit("T"), hms, F.lit("Z")).try_cast("timestamp")
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Compute ``value`` once and hand it to ``use``; a plain reference would compute it per use."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _pieces(text: Column, pattern: str, shape: str, use: Callable[[Column], Column]) -> Column:
     """Match once: text that does not match stays in one piece and gives null."""
     count = shape.count(_SEP) + 1
     laid_out = F.split(F.regexp_replace(text, pattern, shape), _SEP, -1)
-    return _bind(laid_out, lambda p: F.when(F.size(p) == count, use(p)))
+    return bind(laid_out, lambda p: F.when(F.size(p) == count, use(p)))
 
 
 def _clock(hour: Column, minute: Column, second: Column, fraction: Column | None = None) -> Column:
@@ -118,7 +113,7 @@ def _parse_rfc(text: Column) -> Column:
 
 def parse_instant(text: Column) -> Column:
     """Timestamp of a date text; a reading without zone counts as UTC."""
-    return _bind(utrim(text), lambda t: F.coalesce(_parse_common(t), _parse_iso(t), _parse_rfc(t)))
+    return bind(utrim(text), lambda t: F.coalesce(_parse_common(t), _parse_iso(t), _parse_rfc(t)))
 
 
 def parts_to_instant(parts: Column) -> Column:

@@ -7,23 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The secret shapes and their replacements, applied in this order.
-_PASSES = (
-    (r"(?iU)\b(TELEGRAM_BOT_TOKEN|OPENAI_API_KEY)[\s\x1c-\x1f]*=[\s\x1c-\x1f]*([^\s\x1c-\x1f\"',]+)", "$1=***"),
-    (r"(?U)(/bot)([^/\s\x1c-\x1f]+)", "$1***"),
-    (r"(?U)\b\d{6,}:[A-Za-z0-9_-]{20,}\b", "***"),
-    (r"(?U)\bsk-[A-Za-z0-9_-]{10,}\b", "***"),
-    (r"(?iU)\bBearer[\s\x1c-\x1f]+[A-Za-z0-9._=-]+\b", "Bearer ***"),
-)
-
-# Text without any of these pieces cannot match a pass, so one scan replaces five.
-_SUSPECT = r"(?iU)_TOKEN|_KEY|/bot|sk-|Bearer|\d{6}:"
+_ENV = (r"(?iU)\b(TELEGRAM_BOT_TOKEN|OPENAI_API_KEY)[\s\x1c-\x1f]*=[\s\x1c-\x1f]*([^\s\x1c-\x1f\"',]+)", "$1=***")
+_BOT_URL = (r"(?U)(/bot)([^/\s\x1c-\x1f]+)", "$1***")
+_BOT_TOKEN = (r"(?U)\b\d{6,}:[A-Za-z0-9_-]{20,}\b", "***")
+_API_KEY = (r"(?U)\bsk-[A-Za-z0-9_-]{10,}\b", "***")
+_BEARER = (r"(?iU)\bBearer[\s\x1c-\x1f]+[A-Za-z0-9._=-]+\b", "Bearer ***")
 
 
 def redact_text(c: Column) -> Column:
+    """Mask secrets.  Most text holds none, so each pass runs only where a piece it needs occurs.
+
+    A mask consists of stars, so it cannot complete such a piece: the pieces are looked up in the
+    original text.
+    """
+    low = F.lower(c)
+    passes = (
+        (F.contains(low, F.lit("_token")) | F.contains(low, F.lit("_key")), _ENV),
+        (F.contains(c, F.lit("/bot")), _BOT_URL),
+        (F.contains(c, F.lit(":")) & F.rlike(c, F.lit(r"(?U)\d{6}:")), _BOT_TOKEN),
+        (F.contains(c, F.lit("sk-")), _API_KEY),
+        (F.contains(low, F.lit("bearer")), _BEARER),
+    )
     masked = c
-    for pattern, replacement in _PASSES:
-        masked = F.regexp_replace(masked, pattern, replacement)
-    return F.when(F.rlike(c, F.lit(_SUSPECT)), masked).otherwise(c)
+    for possible, (pattern, replacement) in passes:
+        masked = F.when(possible, F.regexp_replace(masked, pattern, replacement)).otherwise(masked)
+    return masked
 
 
 def _holds_text(kind: T.DataType) -> bool:

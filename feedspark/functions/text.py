@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,12 @@ WS = r"[\s\x1c-\x1f]"
 
 # The line boundaries of the data model (CR LF counts once).
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+_RARE_BREAK = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once and hand it to ``use``; a plain reference would compute it per use."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def utrim(c: Column) -> Column:
@@ -51,7 +59,13 @@ def or_dash(c: Column) -> Column:
 
 
 def lines_of(c: Column) -> Column:
-    return F.split(c, LINE_BREAK, -1)
+    """Split into lines; the rare boundaries are rewritten only in text that holds one."""
+
+    def split(text: Column) -> Column:
+        plain = F.when(F.rlike(text, F.lit(_RARE_BREAK)), F.regexp_replace(text, LINE_BREAK, "\n")).otherwise(text)
+        return F.split(plain, "\n", -1)
+
+    return bind(c, split)
 
 
 def is_blank(c: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.redaction import redact
 from feedspark.functions.text import WS, utrim
-from feedspark.operators.rendering import _HASHTAG
+from feedspark.operators.rendering import HASHTAG
+from feedspark.session import set_aside
 
 # Post rules of the two domains with a written contract, and the reject vocabulary.
 POST_RULES = {
@@ -61,7 +62,7 @@ def short_texts(articles: DataFrame, minimum: int = MIN_WORDS) -> DataFrame:
 
 def post_checks(posts: DataFrame) -> DataFrame:
     """Rule by rule verdict on ``(domain_id, final_title, final_text)`` of domains with a contract."""
-    tags = F.regexp_extract_all("final_text", F.lit(_HASHTAG), 1)
+    tags = F.regexp_extract_all("final_text", F.lit(HASHTAG), 1)
 
     def rule(key: str) -> Column:
         picked = None
@@ -97,14 +98,18 @@ def reject_reason_counts(rejected: DataFrame) -> DataFrame:
 def similar_in_batch(batches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs inside one batch whose word sets overlap by at least ``threshold`` (Jaccard).
 
-    Candidates share one of each other's leading words in a fixed order: two sets that overlap
-    enough must share a word among the first ``n - ceil(threshold * n) + 1``, so nothing is missed
-    and no batch is paired with itself in full.  A batch is bounded by the batch size.
+    Candidates share one of each other's leading words in a fixed order (long words first, because
+    they are rare): two sets that overlap enough must share a word among the first
+    ``n - ceil(threshold * n) + 1``, so nothing is missed and no batch is paired with itself in
+    full.  A batch is bounded by the batch size.
     """
-    words = F.array_sort(
-        F.array_distinct(F.filter(F.split(F.lower(utrim(F.col("text"))), rf"(?U){WS}+", -1), lambda w: w != ""))
+    tokens = F.array_distinct(F.split(F.lower(utrim(F.col("text"))), rf"(?U){WS}+", -1))
+    rare_first = F.transform(
+        F.sort_array(F.transform(tokens, lambda w: F.struct((-F.length(w)).alias("rank"), w.alias("w")))), lambda s: s["w"]
+    )
+    sets = set_aside(
+        batches.join(texts, "article_id").select("batch_id", "article_id", rare_first.alias("words"))
     )
-    sets = batches.join(texts, "article_id").select("batch_id", "article_id", words.alias("words"))
     n = F.size("words")
     needed = F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
     leading = sets.filter(n > 0).select(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark.functions.text import empty_to_null, or_dash
 from feedspark.operators.parsing import (
-    batch_failure,
-    extract_blocks,
+    EMPTY_BATCH,
+    NO_BLOCKS,
     parse_batch_results,
     parse_single,
     tag_error,
@@ -32,24 +32,25 @@ def match_results(batches: DataFrame, responses: DataFrame) -> DataFrame:
     ``outcome`` is one of request_failed, parse_failed, duplicate, error, missing, bad_tag, reject,
     ready for an expected article, and unknown for an id the batch did not ask about.
     """
-    failures = extract_blocks(responses).select(
-        "batch_id",
-        F.col("ok").alias("answered"),
-        F.when(~F.col("ok"), F.col("error_message")).otherwise(batch_failure()).alias("failure"),
-    )
-    usable = responses.filter("ok")
-    parsed = parse_batch_results(usable).withColumn("parsed", F.lit(True))
+    parsed = parse_batch_results(responses).withColumn("parsed", F.lit(True))
     expected = batches.select("batch_id", "domain_id", "article_id").withColumn("expected", F.lit(True))
-    both = expected.join(parsed, ["batch_id", "article_id"], "full_outer").join(failures, "batch_id", "left")
+    both = expected.join(parsed, ["batch_id", "article_id"], "full_outer")
+    # A batch is bounded by its size, so looking over one batch is a bounded window.
+    batch = Window.partitionBy("batch_id")
+    judged = both.withColumns(
+        {
+            "failure": F.max("failure").over(batch),
+            "answered": F.max("parsed").over(batch),
+            "tag_error": F.when(F.col("decision") == "READY_TO_PUBLISH", tag_error(F.col("text"))),
+        }
+    ).filter(F.col("article_id").isNotNull())
     asked = F.coalesce("expected", F.lit(False))
-    found = F.coalesce("parsed", F.lit(False))
-    judged = both.withColumn("tag_error", F.when(F.col("decision") == "READY_TO_PUBLISH", tag_error(F.col("text"))))
     outcome = (
         F.when(~asked, F.lit("unknown"))
-        .when(~F.coalesce("answered", F.lit(False)), F.lit("request_failed"))
-        .when(F.col("failure").isNotNull(), F.lit("parse_failed"))
+        .when(F.col("failure").isin(EMPTY_BATCH, NO_BLOCKS), F.lit("parse_failed"))
+        .when(F.col("failure").isNotNull() | F.col("answered").isNull(), F.lit("request_failed"))
         .when(F.col("occurrences") > 1, F.lit("duplicate"))
-        .when(~found, F.lit("missing"))
+        .when(F.col("parsed").isNull(), F.lit("missing"))
         .when(F.col("error").isNotNull(), F.lit("error"))
         .when(F.col("tag_error").isNotNull(), F.lit("bad_tag"))
         .when(F.col("decision") == "REJECT", F.lit("reject"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.functions.text import WS, blank_to_null, is_blank, lines_of, quoted, ultrim, utrim
+from feedspark.functions.text import WS, blank_to_null, empty_to_null, is_blank, lines_of, quoted, ultrim, utrim
 
 # The answer format.
 START, END = "### RESULT", "### END RESULT"
@@ -76,9 +76,8 @@ def extract_blocks(responses: DataFrame) -> DataFrame:
 
 def batch_failure() -> Column:
     """Reason a whole answer is unusable, from ``output_text`` and ``blocks``."""
-    return (
-        F.when(is_blank(F.coalesce("output_text", F.lit(""))), F.lit(EMPTY_BATCH))
-        .when(F.size("blocks") == 0, F.lit(NO_BLOCKS))
+    return F.when(is_blank(F.coalesce("output_text", F.lit(""))), F.lit(EMPTY_BATCH)).when(
+        F.size("blocks") == 0, F.lit(NO_BLOCKS)
     )
 
 
@@ -124,40 +123,51 @@ def _text() -> Column:
 def parse_blocks(responses: DataFrame) -> DataFrame:
     """One row per readable block: ``(batch_id, block_no, article_id, decision, reason, title, text, error)``.
 
-    A block without article id is no result at all.
+    A block without article id is no result at all.  Every answer also gives one row without article
+    id; its ``failure`` tells why the answer is unusable as a whole, if it is.
     """
-    blocks = extract_blocks(responses).select("batch_id", F.posexplode("blocks").alias("block_no", "block"))
-    found = _headers(blocks).filter(F.coalesce("article_id", F.lit("")) != "")
+    failure = F.when(~F.col("ok"), F.col("error_message")).otherwise(batch_failure())
+    judged = extract_blocks(responses).withColumn("failure", failure)
+    usable = F.when(F.col("failure").isNull(), F.col("blocks")).otherwise(F.array().cast("array<string>"))
+    blocks = judged.select(
+        "batch_id", "failure",
+        F.posexplode(F.concat(F.array(F.lit(None).cast("string")), usable)).alias("block_no", "block"),
+    )
+    found = _headers(blocks).filter((F.col("block_no") == 0) | (F.coalesce("article_id", F.lit("")) != ""))
     status = F.coalesce("status", F.lit(""))
     ready = status == "READY_TO_PUBLISH"
     read = found.withColumns({"_status": status, "_title": F.when(ready, _title()), "_text": F.when(ready, _text())})
     error = (
-        F.when(F.col("_status") == "", F.lit("missing_status"))
+        F.when(F.col("block_no") == 0, F.lit(None))
+        .when(F.col("_status") == "", F.lit("missing_status"))
         .when(ready & F.col("_title").isNull(), F.lit("missing_title"))
         .when(ready & F.col("_text").isNull(), F.lit("missing_text"))
     )
+    good = error.isNull()
     return read.select(
         "batch_id",
         "block_no",
-        "article_id",
-        F.when(error.isNull(), F.col("_status")).alias("decision"),
+        F.nullif("article_id", F.lit("")).alias("article_id"),
+        F.when(good, empty_to_null(F.col("_status"))).alias("decision"),
         F.when(F.col("_status") == "REJECT", _reason()).alias("reason"),
-        F.when(error.isNull(), F.col("_title")).alias("title"),
-        F.when(error.isNull(), F.col("_text")).alias("text"),
+        F.when(good, F.col("_title")).alias("title"),
+        F.when(good, F.col("_text")).alias("text"),
         error.alias("error"),
+        "failure",
     )
 
 
 def parse_batch_results(responses: DataFrame) -> DataFrame:
-    """First result of each id in an answer, and how often the id occurs.
+    """First result of each id in an answer and how often the id occurs; and one row per answer.
 
     An aggregate instead of a window: repeated blocks collapse before the shuffle.
     """
-    fields = ("decision", "reason", "title", "text", "error")
+    fields = ("decision", "reason", "title", "text", "error", "failure")
     return (
         parse_blocks(responses)
         .groupBy("batch_id", "article_id")
-        .agg(F.min_by(F.struct(*fields), "block_no").alias("_r"), F.count(F.lit(1)).alias("occurrences"))
+        .agg(F.min_by(F.struct(*fields), "block_no").alias("_r"),
+             F.count(F.lit(1)).alias("occurrences"))
         .select("batch_id", "article_id", "_r.*", "occurrences")
     )
 
@@ -165,12 +175,11 @@ def parse_batch_results(responses: DataFrame) -> DataFrame:
 def first_disallowed_tag(text: Column) -> Column:
     """Lower-case name of the first tag outside the whitelist; null if there is none."""
     tags = F.transform(F.regexp_extract_all(text, F.lit(_TAG), 1), F.lower)
-    return F.get(F.filter(tags, lambda t: ~t.isin(*ALLOWED_TAGS)), 0)
+    return F.when(F.contains(text, F.lit("<")), F.get(F.filter(tags, lambda t: ~t.isin(*ALLOWED_TAGS)), 0))
 
 
 def tag_error(text: Column) -> Column:
-    tag = first_disallowed_tag(text)
-    return F.when(tag.isNotNull(), F.concat(F.lit("Disallowed HTML tag in output: <"), tag, F.lit(">")))
+    return F.concat(F.lit("Disallowed HTML tag in output: <"), first_disallowed_tag(text), F.lit(">"))
 
 
 def parse_single(responses: DataFrame, text: str = "output_text") -> DataFrame:

@@ -8,7 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.functions.dates import display_instant
-from feedspark.functions.text import WS, blank_to_null, empty_to_null, html_escape, is_blank, lines_of, urtrim, utrim
+from feedspark.functions.text import (
+    WS,
+    bind,
+    blank_to_null,
+    empty_to_null,
+    html_escape,
+    is_blank,
+    lines_of,
+    urtrim,
+    utrim,
+)
 
 # Footer labels, promotional phrases and the hashtag shape of a post.
 FOOTER_DOMAINS = ("ai",)
@@ -16,7 +26,7 @@ DEFAULT_SOURCE = "AI News"
 _FIELD_MARKERS = ("Source:", "Original:")
 _PROMO_ANYWHERE = "подробнее"
 _PROMO_STARTS = ("читайте", "подроб")
-_HASHTAG = r"#([a-z][a-z0-9_]{0,63})"
+HASHTAG = r"#([a-z][a-z0-9_]{0,63})"
 _TAIL_TAGS = rf"(?U)(?:{WS}+#[a-z][a-z0-9_]{{0,63}})+{WS}*$"
 
 
@@ -38,27 +48,39 @@ def _clean_line(line: Column) -> Column:
     """Cut at the first footer label; whitespace-only lines become empty."""
     for marker in _FIELD_MARKERS:
         line = urtrim(F.substring_index(line, marker, 1))
-    return F.when(is_blank(line), F.lit("")).otherwise(line)
+    return line
 
 
 def _is_promo(line: Column) -> Column:
-    low = F.lower(line)
-    hit = F.contains(low, F.lit(_PROMO_ANYWHERE))
-    for start in _PROMO_STARTS:
-        hit = hit | F.startswith(low, F.lit(start))
-    return hit
-
-
-def sanitize_lines(lines: Column) -> Column:
-    """Body text without promotional lines or footer labels, blank runs collapsed, edges trimmed."""
-    kept = F.filter(F.transform(lines, urtrim), lambda x: ~_is_promo(x))
-    text = F.array_join(F.transform(kept, _clean_line), "\n")
-    return F.regexp_replace(F.btrim(text, F.lit("\n")), "\n{3,}", "\n\n")
+    def in_lower(low: Column) -> Column:
+        hit = F.contains(low, F.lit(_PROMO_ANYWHERE))
+        for start in _PROMO_STARTS:
+            hit = hit | F.startswith(low, F.lit(start))
+        return hit
+
+    return bind(F.lower(line), in_lower)
+
+
+def sanitize_lines(lines: Column, text: Column) -> Column:
+    """Body text without promotional lines or footer labels, blank runs collapsed, edges trimmed.
+
+    ``text`` is what the lines came from: lines are looked at only if it holds such a piece.
+    """
+    stems = (_PROMO_STARTS[0], _PROMO_STARTS[1])
+    promo = bind(F.lower(text), lambda low: F.contains(low, F.lit(stems[0])) | F.contains(low, F.lit(stems[1])))
+    labelled = F.contains(text, F.lit(_FIELD_MARKERS[0])) | F.contains(text, F.lit(_FIELD_MARKERS[1]))
+    trimmed = F.transform(lines, urtrim)
+    kept = F.when(promo, F.filter(trimmed, lambda x: ~_is_promo(x))).otherwise(trimmed)
+    clean = F.when(labelled, F.transform(kept, _clean_line)).otherwise(kept)
+    joined = F.btrim(F.array_join(clean, "\n"), F.lit("\n"))
+    return bind(
+        joined, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t)
+    )
 
 
 def hashtag_line(text: Column) -> Column:
     """All lower-case latin hashtags of a text on one line, first occurrence first."""
-    tags = F.array_distinct(F.regexp_extract_all(text, F.lit(_HASHTAG), 1))
+    tags = F.array_distinct(F.regexp_extract_all(text, F.lit(HASHTAG), 1))
     return empty_to_null(F.array_join(F.transform(tags, lambda t: F.concat(F.lit("#"), t)), " "))
 
 
@@ -70,11 +92,14 @@ def with_footer(df: DataFrame, text: str, source_name: Column, url: Column, out:
     split = lined.withColumn("_end", body_end)
     parts = split.withColumns(
         {
-            "_main": sanitize_lines(F.slice("_lines", 1, F.col("_end"))),
+            "_main": sanitize_lines(F.slice("_lines", 1, F.col("_end")), F.col(text)),
             "_tags": F.array_join(F.slice("_lines", F.col("_end") + 1, F.size("_lines")), "\n"),
         }
     ).withColumn("_last", F.substring_index("_main", "\n", -1))
-    tail = F.regexp_extract("_last", _TAIL_TAGS, 0)
+    parts = parts.withColumn(
+        "_tail", F.when(F.contains("_last", F.lit("#")), F.regexp_extract("_last", _TAIL_TAGS, 0)).otherwise("")
+    )
+    tail = F.col("_tail")
     last_kept = urtrim(F.regexp_replace("_last", _TAIL_TAGS, ""))
     before_last = F.substring("_main", F.lit(1), F.length("_main") - F.length("_last"))
     without_tail = F.when(last_kept != "", F.concat(before_last, last_kept)).otherwise(
