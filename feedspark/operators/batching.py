@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark.functions.text import first_present, or_dash, utrim
+from feedspark.operators.lookups import lookup
 from feedspark.operators.ranking import TOP_K_ROWS, ordered_rank, take_ordered
 from feedspark.operators.selection import awaiting_decision, with_source_name
 
@@ -19,12 +20,11 @@ def budgeted_candidates(
     scored domains.  Only keys are ranked.  No budget (``None``) means every candidate.
     """
     scored = domains.filter("llm_enabled").select(F.col("id").alias("domain_id"), "domain_rank")
-    keys = (
-        with_source_name(
-            awaiting_decision(articles).select("id", "domain_id", "source_id", "created_at", "ingest_seq"), sources
-        )
-        .join(scored, "domain_id")
-        .select("id", "domain_id", "domain_rank", "created_at", "ingest_seq")
+    waiting = with_source_name(
+        awaiting_decision(articles).select("id", "domain_id", "source_id", "created_at", "ingest_seq"), sources
+    )
+    keys = lookup(waiting, scored, ["domain_id"], ["id"]).select(
+        "id", "domain_id", "domain_rank", "created_at", "ingest_seq"
     )
     if max_total is None:
         return keys

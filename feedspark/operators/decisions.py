@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark.functions.text import empty_to_null, or_dash
+from feedspark.operators.lookups import lookup
 from feedspark.operators.parsing import (
     EMPTY_BATCH,
     NO_BLOCKS,
-    parse_batch_results,
+    first_result,
+    parse_blocks,
     parse_single,
     tag_error,
 )
@@ -32,15 +34,21 @@ def match_results(batches: DataFrame, responses: DataFrame) -> DataFrame:
     ``outcome`` is one of request_failed, parse_failed, duplicate, error, missing, bad_tag, reject,
     ready for an expected article, and unknown for an id the batch did not ask about.
     """
-    parsed = parse_batch_results(responses).withColumn("parsed", F.lit(True))
-    expected = batches.select("batch_id", "domain_id", "article_id").withColumn("expected", F.lit(True))
-    both = expected.join(parsed, ["batch_id", "article_id"], "full_outer")
-    # A batch is bounded by its size, so looking over one batch is a bounded window.
+    asked_rows = batches.select("batch_id", "domain_id", "article_id", F.lit(True).alias("expected"))
+    rows = asked_rows.unionByName(parse_blocks(responses), allowMissingColumns=True).repartition("batch_id")
+    # One shuffle by batch serves both the match by id and the look over the whole batch, which is
+    # bounded by the batch size.
+    both = rows.groupBy("batch_id", "article_id").agg(
+        F.max("domain_id").alias("domain_id"),
+        F.max("expected").alias("expected"),
+        F.count("block_no").alias("occurrences"),
+        first_result(),
+    )
     batch = Window.partitionBy("batch_id")
-    judged = both.withColumns(
+    judged = both.select("*", "_r.*").withColumns(
         {
             "failure": F.max("failure").over(batch),
-            "answered": F.max("parsed").over(batch),
+            "answered": F.max("occurrences").over(batch) > 0,
             "tag_error": F.when(F.col("decision") == "READY_TO_PUBLISH", tag_error(F.col("text"))),
         }
     ).filter(F.col("article_id").isNotNull())
@@ -48,9 +56,9 @@ def match_results(batches: DataFrame, responses: DataFrame) -> DataFrame:
     outcome = (
         F.when(~asked, F.lit("unknown"))
         .when(F.col("failure").isin(EMPTY_BATCH, NO_BLOCKS), F.lit("parse_failed"))
-        .when(F.col("failure").isNotNull() | F.col("answered").isNull(), F.lit("request_failed"))
+        .when(F.col("failure").isNotNull() | ~F.col("answered"), F.lit("request_failed"))
         .when(F.col("occurrences") > 1, F.lit("duplicate"))
-        .when(F.col("parsed").isNull(), F.lit("missing"))
+        .when(F.col("occurrences") == 0, F.lit("missing"))
         .when(F.col("error").isNotNull(), F.lit("error"))
         .when(F.col("tag_error").isNotNull(), F.lit("bad_tag"))
         .when(F.col("decision") == "REJECT", F.lit("reject"))
@@ -71,7 +79,7 @@ def match_results(batches: DataFrame, responses: DataFrame) -> DataFrame:
 def batch_decisions(matched: DataFrame, domains: DataFrame, default_language: str = DEFAULT_LANGUAGE) -> DataFrame:
     """State changes of the expected articles; unknown ids change nothing."""
     languages = domains.select(F.col("id").alias("domain_id"), "target_language")
-    rows = matched.filter(F.col("outcome") != "unknown").join(languages, "domain_id", "left")
+    rows = lookup(matched.filter(F.col("outcome") != "unknown"), languages, ["domain_id"], ["article_id"], "left")
     return _as_decisions(
         rows,
         F.when(F.col("outcome") == "request_failed", F.lit(REQUEST_STAGE)).otherwise(F.lit(PARSE_STAGE)),
@@ -134,5 +142,6 @@ def single_decisions(responses: DataFrame, domains: DataFrame, default_language:
         .when(F.col("decision") == "REJECT", F.lit("reject"))
         .otherwise(F.lit("ready"))
     )
-    rows = parsed.withColumn("outcome", outcome).withColumn("message", message).join(languages, "domain_id", "left")
+    judged = parsed.withColumn("outcome", outcome).withColumn("message", message)
+    rows = lookup(judged, languages, ["domain_id"], ["article_id"], "left")
     return _as_decisions(rows, F.lit(SINGLE_STAGE), default_language)

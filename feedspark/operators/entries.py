@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedspark.functions.dates import entry_instant, hours_before, iso_text, parts_to_instant
 from feedspark.functions.identity import article_id
 from feedspark.functions.text import blank_to_null, first_present, utrim
+from feedspark.operators.lookups import lookup
 from feedspark.operators.ranking import top_n_per_group
 from feedspark.sources.feeds import entry_json, external_id
 
@@ -61,7 +62,9 @@ def select_entries(entries: DataFrame, settings: DataFrame, now: Column) -> Data
     the feed-settings table of the configured sources; its largest cap is read once.
     """
     largest = settings.agg(F.max("rss_max_items")).first()[0] or 0
-    dated = with_entry_time(entries).join(settings.drop("retry_attempts"), "source_id", "left")
+    dated = lookup(
+        with_entry_time(entries), settings.drop("retry_attempts"), ["source_id"], ["run_id", "pos"], "left"
+    )
     kept = newest_per_source(within_source_age(dated, now), int(largest))
     undated_last = F.coalesce(-F.unix_micros("entry_at"), F.lit(2**63 - 1))
     sort_key = F.when(F.col("rss_sort_by_published_desc"), undated_last).otherwise(F.lit(0))
@@ -84,7 +87,8 @@ def normalize_entries(entries: DataFrame, sources: DataFrame) -> tuple[DataFrame
     origin = sources.select(
         F.col("id").alias("source_id"), "domain_id", "domain_rank", "source_rank"
     )
-    placed = entries.withColumn("canonical_url", utrim(F.coalesce("link", F.lit("")))).join(origin, "source_id")
+    linked = entries.withColumn("canonical_url", utrim(F.coalesce("link", F.lit(""))))
+    placed = lookup(linked, origin, ["source_id"], ["run_id", "pos"])
     published = first_present(F.col("published"), parsed_time_text(F.col("published_parsed")))
     updated = first_present(F.col("updated"), parsed_time_text(F.col("updated_parsed")))
     if "sort_key" not in placed.columns:

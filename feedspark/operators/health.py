@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.operators.ranking import spread_join
+from feedspark.operators.lookups import lookup
 
 
 def fold_source_health(log: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def fold_source_health(log: DataFrame) -> DataFrame:
     failures = log.filter(~ok).select("source_id", "at", "run_id", "seq")
     resets = folded.filter(F.col("_last_ok").isNotNull()).select("source_id", "_last_ok")
     before_reset = (
-        spread_join(failures, resets, ["source_id"], ["at", "run_id", "seq"])
+        lookup(failures, resets, ["source_id"], ["at", "run_id", "seq"])
         .filter(place < F.col("_last_ok"))
         .groupBy("source_id")
         .agg(F.count(F.lit(1)).alias("_forgiven"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedspark.operators.ranking import first_per_key, order_struct
+from feedspark.operators.lookups import lookup, present_in
+from feedspark.operators.ranking import first_per_key, order_struct, ordered_rank
 from feedspark.operators.state import event_rows
 from feedspark.schemas import ARTICLES
 from feedspark.session import set_aside
@@ -28,7 +29,7 @@ def known_ids(store: DataFrame, incoming: DataFrame) -> DataFrame:
     Written this way round, a small batch is broadcast against a scan of the id column; the store
     itself is shuffled only when the batch is large.
     """
-    return store.select("id").join(incoming.select("id"), "id", "left_semi")
+    return present_in(store.select("id"), incoming.select("id"), ["id"])
 
 
 def insert_new(articles: DataFrame, store: DataFrame, order: list[str] = INGEST_ORDER) -> DataFrame:
@@ -65,7 +66,7 @@ def reject_unscored(new: DataFrame, domains: DataFrame, now: Column) -> DataFram
     """Articles of a domain without scoring do not wait: they are rejected on arrival."""
     flags = domains.select(F.col("id").alias("domain_id"), "llm_enabled")
     off = ~F.coalesce(F.col("llm_enabled"), F.lit(False))
-    marked = new.join(flags, "domain_id", "left")
+    marked = lookup(new, flags, ["domain_id"], ["id"], "left")
     return marked.withColumns(
         {
             "editorial_status": F.when(off, F.lit("REJECTED")).otherwise(F.col("editorial_status")),
@@ -108,17 +109,21 @@ FETCH = ["source_id", "run_id"]
 
 def held_pairs(named: DataFrame, store: DataFrame) -> DataFrame:
     """(source, external id) pairs of the batch that a stored article already holds."""
-    return store.select(*PAIR).join(named.select(*PAIR).distinct(), PAIR, "left_semi").distinct()
+    return present_in(store.select(*PAIR), named.select(*PAIR), PAIR).distinct()
 
 
 def split_clashes(winners: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New articles to insert, and those whose (source, external id) belongs to another article."""
-    named = winners.filter(F.col("source_item_external_id").isNotNull())
-    anonymous = winners.filter(F.col("source_item_external_id").isNull())
+    """New articles to insert, and those whose (source, external id) belongs to another article.
+
+    Clashes are found on narrow keys.  The articles themselves are already placed by id, so taking
+    the clashing ids out does not move their content again.
+    """
+    keys = winners.select("id", *PAIR, *INGEST_ORDER)
+    named = keys.filter(F.col("source_item_external_id").isNotNull())
     free = named.join(held_pairs(named, store), PAIR, "left_anti")
     kept = first_per_key(free, PAIR, ["run_id", "sort_key", "pos"])
     lost = named.join(kept.select("id"), "id", "left_anti").withColumn("defect", F.lit("external_id_conflict"))
-    return kept.unionByName(anonymous), lost
+    return winners.join(lost.select("id"), "id", "left_anti"), lost
 
 
 def clash_cut(insertable: DataFrame, store: DataFrame) -> DataFrame:
@@ -166,7 +171,7 @@ def source_cuts(articles: DataFrame, bad: DataFrame, store: DataFrame) -> DataFr
 
 
 def before_cuts(articles: DataFrame, cuts: DataFrame) -> DataFrame:
-    return articles.join(cuts, FETCH, "left").filter(
+    return lookup(articles, cuts, FETCH, ["sort_key", "pos"], "left").filter(
         F.col("cut").isNull() | (item_place() < F.col("cut"))
     ).drop("cut")
 
@@ -188,7 +193,10 @@ def ingest(
     else:
         chosen, lost = split_clashes(insert_new(articles, store), store)
         quarantine = bad.select(*keep).unionByName(lost.select(*keep))
-    stored = reject_unscored(as_stored(chosen, now), domains, now)
+    numbers = ordered_rank(
+        chosen.select("id", *INGEST_ORDER), [F.col(c) for c in INGEST_ORDER], name="ingest_seq"
+    ).select("id", "ingest_seq")
+    stored = reject_unscored(as_stored(chosen.join(numbers, "id"), now), domains, now)
     return stored, insert_events(stored, now), quarantine
 
 

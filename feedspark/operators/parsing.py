@@ -157,17 +157,21 @@ def parse_blocks(responses: DataFrame) -> DataFrame:
     )
 
 
+def first_result() -> Column:
+    """Aggregate: the fields of the first block of a group, as ``_r``."""
+    fields = ("decision", "reason", "title", "text", "error", "failure")
+    return F.min_by(F.struct(*fields), "block_no").alias("_r")
+
+
 def parse_batch_results(responses: DataFrame) -> DataFrame:
     """First result of each id in an answer and how often the id occurs; and one row per answer.
 
     An aggregate instead of a window: repeated blocks collapse before the shuffle.
     """
-    fields = ("decision", "reason", "title", "text", "error", "failure")
     return (
         parse_blocks(responses)
         .groupBy("batch_id", "article_id")
-        .agg(F.min_by(F.struct(*fields), "block_no").alias("_r"),
-             F.count(F.lit(1)).alias("occurrences"))
+        .agg(first_result(), F.count(F.lit(1)).alias("occurrences"))
         .select("batch_id", "article_id", "_r.*", "occurrences")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.dates import is_fresh
 from feedspark.functions.text import empty_to_null
+from feedspark.operators.lookups import lookup
 from feedspark.operators.ranking import TOP_K_ROWS, order_struct, ordered_rank, take_ordered
 from feedspark.operators.selection import (
     READY_COLUMNS,
@@ -34,7 +35,7 @@ def channels(domains: DataFrame) -> DataFrame:
 def eligible(articles: DataFrame, sources: DataFrame, domains: DataFrame) -> DataFrame:
     """Deliverable articles of publishable domains, with their channel."""
     rows = with_source_name(deliverable(articles), sources).select(*READY_COLUMNS)
-    return rows.join(channels(domains), "domain_id")
+    return lookup(rows, channels(domains), ["domain_id"], ["id"])
 
 
 def never_failed() -> Column:

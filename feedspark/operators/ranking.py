@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedspark.functions.identity import spread
 from feedspark.session import set_aside
 
 # A sorted cut up to this many rows runs as Spark's per-partition top-k; a larger one is ranked
@@ -104,15 +103,3 @@ def top_n_per_group(
     else:
         ranked = ordered_rank(df, order, within=group, name="_rn")
     return ranked.filter(F.col("_rn") <= n).drop("_rn")
-
-
-def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_from: Sequence[str], salts: int = 16,
-                how: str = "inner") -> DataFrame:
-    """Join on keys that may be hot on the big side.
-
-    The big side gets a salt from row-unique columns and the small side one copy per salt, so one
-    key is shared by ``salts`` tasks.  A small side under the broadcast limit still needs no shuffle.
-    """
-    salted = big.withColumn("_salt", spread(salts, *[F.col(c) for c in salt_from]))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

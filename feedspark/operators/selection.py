@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedspark.operators.lookups import lookup
 from feedspark.operators.ranking import take_ordered
 
 LLM_COLUMNS = (
@@ -51,11 +52,10 @@ def in_domains(articles: DataFrame, domain_ids: Sequence[str]) -> DataFrame:
 def with_source_name(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Add ``source_name``; an article without a stored source drops out.
 
-    No broadcast is forced: Spark broadcasts the source table while it is under the size limit and
-    otherwise joins by shuffle, where adaptive execution splits a hot source.
     """
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
-    return articles.join(names, "source_id")
+    unique = "id" if "id" in articles.columns else "article_id"
+    return lookup(articles, names, ["source_id"], [unique])
 
 
 def awaiting_decision(articles: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.schemas import ARTICLES, EVENTS, MUTABLE, schema
+from feedspark.schemas import ARTICLES, CONTENT, EVENTS, STATES, schema
 
 # What a step decided for one article.  ``action`` names a row of ACTIONS below.
 DECISIONS = schema(
@@ -93,8 +93,8 @@ def decision_columns(**values: Column) -> list[Column]:
 def apply_decisions(store: DataFrame, decisions: DataFrame, now: Column, *, only_changed: bool = False) -> DataFrame:
     """Store rows after at most one decision each; other rows pass through unless ``only_changed``.
 
-    One join on the article id.  ``only_changed`` gives just the rows to append to a change log, so
-    a step costs what it decided and not what is stored.
+    One join on the article id.  ``only_changed`` gives just the rows to append to the state log, so
+    a step writes what it decided and not what is stored.
     """
     verbs = _verbs(now)
     effects: dict[str, list[tuple[str, Column]]] = {}
@@ -170,18 +170,16 @@ def latest_events(events: DataFrame) -> DataFrame:
     return events.groupBy("article_id").agg(last).select("article_id", "_last.*")
 
 
-def current_articles(articles: DataFrame, changes: DataFrame) -> DataFrame:
-    """Articles as inserted, overlaid with the latest row of the change log.
+def current_states(states: DataFrame) -> DataFrame:
+    """Latest row of each article in the append-only state log.
 
-    Only the narrow change log is aggregated; article content is not rewritten by any step.
+    The log is narrow: selection and publishing work on it alone and never read article content.
     """
-    last = changes.groupBy("id").agg(
-        F.max_by(F.struct(*MUTABLE), F.struct("updated_at", "epoch")).alias("_c")
-    )
-    joined = articles.join(last, "id", "left")
-    return joined.select(
-        *[
-            F.when(F.col("_c").isNotNull(), F.col(f"_c.{c}")).otherwise(F.col(c)).alias(c) if c in MUTABLE else F.col(c)
-            for c in ARTICLES.names
-        ]
-    )
+    rest = [c for c in STATES.names if c != "id"]
+    last = F.max_by(F.struct(*rest), F.struct("updated_at", "epoch")).alias("_s")
+    return states.groupBy("id").agg(last).select("id", "_s.*")
+
+
+def current_articles(articles: DataFrame, states: DataFrame) -> DataFrame:
+    """Content of every article with its latest state."""
+    return articles.select("id", *CONTENT).join(current_states(states), "id").select(*ARTICLES.names)

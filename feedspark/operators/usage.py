@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.money import COST_TYPE, token_cost, usd_cents, usd_text
 from feedspark.functions.text import empty_to_null
+from feedspark.operators.lookups import lookup
 
 TOKENS = ("input_tokens", "output_tokens", "total_tokens", "cached_tokens", "reasoning_tokens")
 
@@ -29,7 +30,7 @@ def match_pricing(models: DataFrame, pricing: DataFrame) -> DataFrame:
 
 def price_usage(responses: DataFrame, pricing: DataFrame) -> DataFrame:
     """Each response with its price key and costs; all input tokens are charged, cached or not."""
-    priced = responses.join(match_pricing(responses, pricing), "model", "left")
+    priced = lookup(responses, match_pricing(responses, pricing), ["model"], ["batch_id"], "left")
     answered = F.col("ok")
     cost_in = F.when(answered, token_cost(F.col("input_tokens"), F.col("input_price")))
     cost_out = F.when(answered, token_cost(F.col("output_tokens"), F.col("output_price")))

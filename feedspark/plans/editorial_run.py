@@ -13,6 +13,7 @@ from feedspark.operators.decisions import batch_decisions, batch_summary, match_
 from feedspark.operators.selection import with_source_name
 from feedspark.operators.state import apply_decisions, decision_events
 from feedspark.operators.usage import price_usage, summarize_usage, usage_by_batch
+from feedspark.session import set_aside
 
 
 @dataclass(frozen=True)
@@ -29,8 +30,12 @@ def plan_requests(
     articles: DataFrame, sources: DataFrame, domains: DataFrame, prompts: DataFrame, max_total: int | None,
     batch_size: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(batches, requests)`` of a run; write both before answers are collected."""
-    batches = plan_batches(articles, sources, domains, max_total, batch_size)
+    """``(batches, requests)`` of a run; write the requests before answers are collected.
+
+    The plan is written aside: with its size known, a small one is broadcast against the article
+    content instead of shuffling it.
+    """
+    batches = set_aside(plan_batches(articles, sources, domains, max_total, batch_size))
     if max(int(batch_size), 1) > 1:
         return batches, build_requests(batches, articles, sources, prompts)
     payload = with_source_name(
@@ -49,9 +54,13 @@ def apply_answers(
     articles: DataFrame, domains: DataFrame, batches: DataFrame, answers: DataFrame, pricing: DataFrame,
     now: Column, *, default_language: str = "ru",
 ) -> EditorialRun:
-    """Decide every article of the answered batches."""
-    matched = match_results(batches, answers)
-    decisions = batch_decisions(matched, domains, default_language)
+    """Decide every article of the answered batches.
+
+    Answers are parsed once.  Both results are written aside, so their size is known: few decisions
+    are broadcast against the store, many are joined by id.
+    """
+    matched = set_aside(match_results(batches, answers))
+    decisions = set_aside(batch_decisions(matched, domains, default_language))
     priced = price_usage(answers, pricing)
     return EditorialRun(
         decisions,
@@ -71,9 +80,9 @@ def apply_single_answers(
     asked = batches.select("batch_id", "domain_id", "article_id").join(
         answers.select("batch_id", "ok", "error_message", "output_text"), "batch_id", "left"
     )
-    decisions = single_decisions(
-        asked.withColumns({"ok": F.coalesce("ok", F.lit(False)), "error_message": or_dash(F.col("error_message"))}),
-        domains, default_language,
+    usable = asked.withColumns(
+        {"ok": F.coalesce("ok", F.lit(False)), "error_message": or_dash(F.col("error_message"))}
     )
+    decisions = set_aside(single_decisions(usable, domains, default_language))
     changed = apply_decisions(articles, decisions, now, only_changed=True)
     return EditorialRun(decisions, changed, decision_events(decisions, now), None, None, None)

@@ -15,6 +15,7 @@ from feedspark.operators.publish import (
 )
 from feedspark.operators.rendering import render_posts
 from feedspark.operators.state import apply_decisions, decision_events
+from feedspark.session import set_aside
 from feedspark.sources.connectors import Deliverer
 
 
@@ -34,8 +35,9 @@ def outbox(articles: DataFrame, sources: DataFrame, domains: DataFrame) -> DataF
 def publish_once(
     articles: DataFrame, sources: DataFrame, domains: DataFrame, deliver: Deliverer, now: Column
 ) -> PublishRun:
-    posts = outbox(articles, sources, domains)
-    decisions = publish_decisions(posts.withColumnRenamed("article_id", "id"), deliver(posts))
+    """Deliver the next post, if any.  It is written aside so that it is sent exactly as chosen."""
+    posts = set_aside(outbox(articles, sources, domains))
+    decisions = set_aside(publish_decisions(posts.withColumnRenamed("article_id", "id"), deliver(posts)))
     changed = apply_decisions(articles, decisions, now, only_changed=True)
     return PublishRun(decisions, changed, decision_events(decisions, now))
 
@@ -44,7 +46,7 @@ def publish_capped(
     articles: DataFrame, sources: DataFrame, domains: DataFrame, outcomes: DataFrame, cap: int, max_age_hours: int,
     now: Column,
 ) -> PublishRun:
-    handled = capped_publish(articles, sources, domains, outcomes, cap, max_age_hours, now)
+    handled = set_aside(capped_publish(articles, sources, domains, outcomes, cap, max_age_hours, now))
     decisions = capped_decisions(handled)
     changed = apply_decisions(articles, decisions, now, only_changed=True)
     return PublishRun(decisions, changed, decision_events(decisions, now), publish_stats(handled))

@@ -70,14 +70,9 @@ ARTICLES = schema(
     "last_error_stage string, last_error_message string, last_error_at timestamp, created_at timestamp, "
     "updated_at timestamp, ingest_seq bigint"
 )
-# The columns later steps may change; content columns of an article never do.
-MUTABLE = (
-    "lifecycle_state", "publication_status", "publication_error", "telegram_message_id", "telegram_channel",
-    "telegram_published_at", "editorial_status", "status_updated_at", "rejection_reason", "rejected_at",
-    "llm_processed_at", "final_language", "final_title", "final_text", "last_error_stage", "last_error_message",
-    "last_error_at", "updated_at",
-)
-CHANGES = T.StructType([ARTICLES["id"], *[ARTICLES[c] for c in MUTABLE]])
+# The bulky columns of an article, which no later step changes.  Everything else is its state.
+CONTENT = ("title", "content", "raw_json", "normalized_json", "rewritten_json")
+STATES = T.StructType([f for f in ARTICLES.fields if f.name not in CONTENT])
 EVENTS = schema(
     "seq bigint, article_id string, event_type string, created_at timestamp, details_json string, "
     "error_message string"

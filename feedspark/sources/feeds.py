@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedspark.functions.dates import iso_text, parts_to_instant
 from feedspark.functions.text import empty_to_null
+from feedspark.operators.lookups import lookup
 from feedspark.schemas import ENTRIES, ENTRY_FIELDS
 
 # Failures worth another attempt; an HTTP status error is not among them.
@@ -41,8 +42,10 @@ def settle_fetches(attempts: DataFrame, retries: DataFrame) -> DataFrame:
     final = ~failed | ~F.col("error_type").isin(*TRANSIENT_ERRORS)
     keys = ["source_id", "run_id"]
     used = (
-        attempts.select(*keys, "attempt", final.alias("_final"))
-        .join(retries.select("source_id", "retry_attempts"), "source_id", "left")
+        lookup(
+            attempts.select(*keys, "attempt", final.alias("_final")),
+            retries.select("source_id", "retry_attempts"), ["source_id"], ["run_id", "attempt"], "left",
+        )
         .filter(F.col("attempt") <= allowed)
         .groupBy(*keys)
         .agg(

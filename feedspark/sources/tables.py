@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedspark.schemas import ARTICLES, CHANGES, EVENTS
+from feedspark.schemas import ARTICLES, STATES, EVENTS
 
 
 def evolve_articles(stored: DataFrame, now: Column) -> DataFrame:
@@ -63,9 +63,9 @@ def stored_articles(spark: SparkSession, root: str) -> DataFrame:
     return read_epochs(spark, root, "articles", ARTICLES)
 
 
-def stored_changes(spark: SparkSession, root: str) -> DataFrame:
-    """Log of changed article states."""
-    return read_epochs(spark, root, "changes", CHANGES)
+def stored_states(spark: SparkSession, root: str) -> DataFrame:
+    """Append-only log of article states: one row at insert and one per change."""
+    return read_epochs(spark, root, "states", STATES)
 
 
 def stored_events(spark: SparkSession, root: str) -> DataFrame:

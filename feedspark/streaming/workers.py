@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedspark.operators.ingest import insert_events
-from feedspark.operators.state import current_articles
+from feedspark.operators.state import current_states
 from feedspark.plans.ingest_run import ingest_run
 from feedspark.plans.publish_run import publish_once
-from feedspark.schemas import ARTICLES, CHANGES, EVENTS, FETCH_ATTEMPTS
+from feedspark.schemas import ARTICLES, EVENTS, FETCH_ATTEMPTS, STATES
 from feedspark.sources.connectors import Deliverer
 from feedspark.sources.tables import (
     stored_articles,
-    stored_changes,
+    stored_states,
     without_epoch,
     write_epoch,
 )
@@ -43,6 +43,7 @@ def ingest_batch(
     run = ingest_run(attempts, source_config, domains, known.select(*ARTICLES.names), now, stage=stage)
     target = write_epoch(run.articles, root, "articles", "ingest", epoch)
     written = spark.read.schema(ARTICLES).parquet(target)
+    write_epoch(written.select(*STATES.names), root, "states", "ingest", epoch)
     write_epoch(insert_events(written, now), root, "events", "ingest", epoch)
 
 
@@ -67,11 +68,10 @@ def publish_tick(
     spark: SparkSession, epoch: int, root: str, sources: DataFrame, domains: DataFrame, deliver: Deliverer,
     now: Column,
 ) -> None:
-    """Publish the next article of the store and log the change."""
-    changes = without_epoch(stored_changes(spark, root), "publish", epoch)
-    articles = current_articles(stored_articles(spark, root), changes)
-    run = publish_once(articles, sources, domains, deliver, now)
-    write_epoch(run.changed.select(*CHANGES.names), root, "changes", "publish", epoch)
+    """Publish the next article and log its new state; article content is not read."""
+    states = current_states(without_epoch(stored_states(spark, root), "publish", epoch))
+    run = publish_once(states, sources, domains, deliver, now)
+    write_epoch(run.changed.select(*STATES.names), root, "states", "publish", epoch)
     write_epoch(run.events.select(*EVENTS.names), root, "events", "publish", epoch)
 
 

@@ -10,9 +10,9 @@ from feedspark.operators.publish import capped_publish, next_to_publish, publish
 from feedspark.operators.rendering import render_posts, with_footer
 from feedspark.operators.state import current_articles
 from feedspark.plans.publish_run import publish_capped, publish_once
-from feedspark.schemas import ARTICLES, CHANGES
+from feedspark.schemas import ARTICLES, STATES
 from feedspark.sources.connectors import recorded_deliverer
-from feedspark.sources.tables import evolve_articles, read_epochs, stored_articles, stored_changes, stored_events, write_epoch
+from feedspark.sources.tables import evolve_articles, read_epochs, stored_articles, stored_states, stored_events, write_epoch
 from feedspark.streaming.workers import start_ingest, start_publisher
 from tests.helpers import articles, attempts, domains, outcomes, source_config, sources
 from tests.test_ingest import RSS
@@ -182,10 +182,10 @@ def test_streams(spark, now, tmp_path):
     follow()
     assert stored_articles(spark, root).count() == 2
 
-    decided = stored_articles(spark, root).select(
-        *[F.lit("READY").alias(c) if c == "editorial_status" else F.col(c) for c in CHANGES.names]
+    decided = stored_states(spark, root).withColumn("updated_at", F.lit("2026-01-10 12:00:00").cast("timestamp")).select(
+        *[F.lit("READY").alias(c) if c == "editorial_status" else F.col(c) for c in STATES.names]
     )
-    write_epoch(decided, root, "changes", "editorial", 0)
+    write_epoch(decided, root, "states", "editorial", 0)
     ids = [r.id for r in decided.collect()]
     deliver = recorded_deliverer(outcomes(spark, [{"article_id": i, "message_id": n} for n, i in enumerate(ids)]))
     ticks = str(tmp_path / "ticks")
@@ -195,7 +195,7 @@ def test_streams(spark, now, tmp_path):
         stream = spark.readStream.schema("id bigint").parquet(ticks)
         start_publisher(stream, root, str(tmp_path / "p2"), sources(spark, "s1"), known, deliver, clock=lambda: later,
                         once=True).awaitTermination()
-        current = current_articles(stored_articles(spark, root), stored_changes(spark, root))
+        current = current_articles(stored_articles(spark, root), stored_states(spark, root))
         assert current.filter("editorial_status = 'PUBLISHED'").count() == expected
     assert stored_events(spark, root).filter("event_type = 'PUBLISHED'").count() == 2
-    assert read_epochs(spark, root, "nothing", CHANGES).count() == 0
+    assert read_epochs(spark, root, "nothing", STATES).count() == 0
