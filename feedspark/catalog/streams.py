@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark.catalog.feeds import feed_documents
-from feedspark.catalog.views import instant, ntz
+from feedspark.catalog.views import instant, ntz, table
 from feedspark.plans.ingest_run import ingest_run
 from feedspark.schemas import ARTICLES, FETCH_ATTEMPTS
 from feedspark.session import use_checkpoint_dir
@@ -34,11 +34,13 @@ def landed(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def feed_sources(fetches: DataFrame) -> DataFrame:
-    number = F.substring("source_id", 5, 12).cast("int")
-    return fetches.select("source_id").distinct().select(
-        F.lit("news").alias("domain_id"), F.lit(0).alias("domain_rank"), number.alias("source_rank"),
-        F.col("source_id").alias("id"), F.lit("rss").alias("type"), F.col("source_id").alias("name"),
+def feed_sources(spark: SparkSession, d: str) -> DataFrame:
+    """One configured source per rendered document."""
+    number = F.floor(F.col("page_id") / 10).cast("int")
+    name = F.concat(F.lit("feed"), "number")
+    return table(spark, d, "pages").select(number.alias("number")).distinct().select(
+        F.lit("news").alias("domain_id"), F.lit(0).alias("domain_rank"), F.col("number").alias("source_rank"),
+        name.alias("id"), F.lit("rss").alias("type"), name.alias("name"),
         F.lit("https://ex.org/").alias("url"), F.lit(True).alias("enabled"),
         F.create_map(F.lit("retry_attempts"), F.lit("1")).alias("config"),
     )
@@ -52,7 +54,7 @@ def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
     """One batch run: scan, rules, normalize, deduplicate, insert."""
     fetches = landed(spark, d)
     empty = spark.createDataFrame([], ARTICLES)
-    run = ingest_run(fetches, feed_sources(fetches), news_domain(spark), empty, instant(NOW))
+    run = ingest_run(fetches, feed_sources(spark, d), news_domain(spark), empty, instant(NOW))
     return _shown(run.articles)
 
 
@@ -62,10 +64,9 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     base = f"{spark.sparkContext.getCheckpointDir()}/feedspark-{uuid.uuid4().hex}"
     fetches = landed(spark, d)
     fetches.repartition(4, "source_id", "run_id").write.parquet(f"{base}/landing")
-    sources = feed_sources(spark.read.schema(FETCH_ATTEMPTS).parquet(f"{base}/landing"))
     query = start_ingest(
-        spark, f"{base}/landing", f"{base}/store", f"{base}/progress", sources, news_domain(spark),
-        clock=lambda: instant(NOW), files_per_batch=2, once=True,
+        spark, f"{base}/landing", f"{base}/store", f"{base}/progress", feed_sources(spark, d),
+        news_domain(spark), clock=lambda: instant(NOW), files_per_batch=2, once=True,
     )
     query.awaitTermination()
     return _shown(stored_articles(spark, f"{base}/store"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedspark.functions.text import bind
+
 # The secret shapes and their replacements, applied in this order.
 _ENV = (r"(?iU)\b(TELEGRAM_BOT_TOKEN|OPENAI_API_KEY)[\s\x1c-\x1f]*=[\s\x1c-\x1f]*([^\s\x1c-\x1f\"',]+)", "$1=***")
 _BOT_URL = (r"(?U)(/bot)([^/\s\x1c-\x1f]+)", "$1***")
@@ -20,18 +22,26 @@ def redact_text(c: Column) -> Column:
     A mask consists of stars, so it cannot complete such a piece: the pieces are looked up in the
     original text.
     """
-    low = F.lower(c)
-    passes = (
-        (F.contains(low, F.lit("_token")) | F.contains(low, F.lit("_key")), _ENV),
-        (F.contains(c, F.lit("/bot")), _BOT_URL),
-        (F.contains(c, F.lit(":")) & F.rlike(c, F.lit(r"(?U)\d{6}:")), _BOT_TOKEN),
-        (F.contains(c, F.lit("sk-")), _API_KEY),
-        (F.contains(low, F.lit("bearer")), _BEARER),
-    )
-    masked = c
-    for possible, (pattern, replacement) in passes:
-        masked = F.when(possible, F.regexp_replace(masked, pattern, replacement)).otherwise(masked)
-    return masked
+
+    def masked(x: Column) -> Column:
+        text, low = x["text"], x["low"]
+        passes = (
+            (F.contains(low, F.lit("_token")) | F.contains(low, F.lit("_key")), _ENV),
+            (F.contains(text, F.lit("/bot")), _BOT_URL),
+            (F.contains(text, F.lit(":")) & F.rlike(text, F.lit(r"(?U)\d{6}:")), _BOT_TOKEN),
+            (F.contains(text, F.lit("sk-")), _API_KEY),
+            (F.contains(low, F.lit("bearer")), _BEARER),
+        )
+        done = text
+        for possible, (pattern, replacement) in passes:
+            done = _replace_if(possible, done, pattern, replacement)
+        return done
+
+    return bind(F.struct(c.alias("text"), F.lower(c).alias("low")), masked)
+
+
+def _replace_if(possible: Column, text: Column, pattern: str, replacement: str) -> Column:
+    return bind(text, lambda t: F.when(possible, F.regexp_replace(t, pattern, replacement)).otherwise(t))
 
 
 def _holds_text(kind: T.DataType) -> bool:
