@@ -27,15 +27,16 @@ class EditorialRun:
 
 
 def plan_requests(
-    articles: DataFrame, sources: DataFrame, domains: DataFrame, prompts: DataFrame, max_total: int | None,
-    batch_size: int,
+    states: DataFrame, articles: DataFrame, sources: DataFrame, domains: DataFrame, prompts: DataFrame,
+    max_total: int | None, batch_size: int,
 ) -> tuple[DataFrame, DataFrame]:
     """``(batches, requests)`` of a run; write the requests before answers are collected.
 
+    Candidates come from the narrow ``states``; ``articles`` are read only for the chosen content.
     The plan is written aside: with its size known, a small one is broadcast against the article
     content instead of shuffling it.
     """
-    batches = set_aside(plan_batches(articles, sources, domains, max_total, batch_size))
+    batches = set_aside(plan_batches(states, sources, domains, max_total, batch_size))
     if max(int(batch_size), 1) > 1:
         return batches, build_requests(batches, articles, sources, prompts)
     payload = with_source_name(
@@ -51,7 +52,7 @@ def plan_requests(
 
 
 def apply_answers(
-    articles: DataFrame, domains: DataFrame, batches: DataFrame, answers: DataFrame, pricing: DataFrame,
+    states: DataFrame, domains: DataFrame, batches: DataFrame, answers: DataFrame, pricing: DataFrame,
     now: Column, *, default_language: str = "ru",
 ) -> EditorialRun:
     """Decide every article of the answered batches.
@@ -64,7 +65,7 @@ def apply_answers(
     priced = price_usage(answers, pricing)
     return EditorialRun(
         decisions,
-        apply_decisions(articles, decisions, now, only_changed=True),
+        apply_decisions(states, decisions, now, only_changed=True),
         decision_events(decisions, now),
         batch_summary(matched),
         usage_by_batch(priced),
@@ -73,7 +74,7 @@ def apply_answers(
 
 
 def apply_single_answers(
-    articles: DataFrame, domains: DataFrame, batches: DataFrame, answers: DataFrame, now: Column,
+    states: DataFrame, domains: DataFrame, batches: DataFrame, answers: DataFrame, now: Column,
     *, default_language: str = "ru",
 ) -> EditorialRun:
     """Batch size one: strict single answers, and no usage is recorded."""
@@ -84,5 +85,5 @@ def apply_single_answers(
         {"ok": F.coalesce("ok", F.lit(False)), "error_message": or_dash(F.col("error_message"))}
     )
     decisions = set_aside(single_decisions(usable, domains, default_language))
-    changed = apply_decisions(articles, decisions, now, only_changed=True)
+    changed = apply_decisions(states, decisions, now, only_changed=True)
     return EditorialRun(decisions, changed, decision_events(decisions, now), None, None, None)

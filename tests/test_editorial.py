@@ -197,7 +197,7 @@ def test_request_text(spark, tmp_path):
     prompts = scan_prompts(spark, str(tmp_path))
     assert [r.domain_id for r in missing_prompts(known, prompts).collect()] == ["ai"]
     ready = prompts.withColumn("domain_id", F.lit("football"))
-    _, requests = plan_requests(store, sources(spark, "s1"), known, ready, 100, 20)
+    _, requests = plan_requests(store, store, sources(spark, "s1"), known, ready, 100, 20)
     row = requests.first()
     assert row.prompt == "Decide.\nWell." and row.articles == 2
     assert row.input_text == (
@@ -205,7 +205,7 @@ def test_request_text(spark, tmp_path):
         "Content:\n-\n\n### END ARTICLE\n\n### ARTICLE\n\nArticle-ID: a1\nSource: Name s1\nURL: https://example.com/1\n"
         "Published: 2026-01-01\n\nTitle:\nt1\n\nContent:\nc1\n\n### END ARTICLE\n"
     )
-    _, single = plan_requests(store, sources(spark, "s1"), known, ready, 100, 1)
+    _, single = plan_requests(store, store, sources(spark, "s1"), known, ready, 100, 1)
     assert single.orderBy("batch_index").first().input_text.startswith("### ARTICLE\n\nSource: Name s1\nURL:")
 
 

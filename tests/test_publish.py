@@ -199,3 +199,17 @@ def test_streams(spark, now, tmp_path):
         assert current.filter("editorial_status = 'PUBLISHED'").count() == expected
     assert stored_events(spark, root).filter("event_type = 'PUBLISHED'").count() == 2
     assert read_epochs(spark, root, "nothing", STATES).count() == 0
+
+
+def test_sinks(spark, now, tmp_path):
+    from feedspark.operators.state import event_rows
+    from feedspark.sources.tables import append_events, append_log_lines
+
+    base = spark.range(2)
+    events = event_rows(base, article_id=F.concat(F.lit("a"), "id"), event_type=F.lit("INGESTED"),
+                        details=F.lit(None).cast("string"), error=F.lit(None).cast("string"), now=now)
+    for _ in range(2):
+        append_events(events, str(tmp_path / "events"))
+    assert spark.read.parquet(str(tmp_path / "events")).count() == 4
+    append_log_lines(stamp_events(spark.createDataFrame([("/botX/", None)], "event string, env string"), "svc"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).first().event == "/bot***/"
