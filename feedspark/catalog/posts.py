@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedspark.catalog.stored import PUBLISH_NEXT_SQL
 from feedspark.catalog.views import STORED_WITH, domains, sources, stored, table
 from feedspark.functions.redaction import redact
 from feedspark.operators.audit import (
@@ -16,6 +17,7 @@ from feedspark.operators.audit import (
 )
 from feedspark.operators.publish import eligible
 from feedspark.operators.rendering import render_posts, with_footer
+from feedspark.plans.publish_run import outbox
 
 
 def post_render(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +47,18 @@ SELECT id, md5(post_text) AS post_md5, CAST(length(post_text) AS INTEGER) AS pos
 """
 
 
+def publish_outbox(spark: SparkSession, d: str) -> DataFrame:
+    """The next post, rendered and addressed."""
+    posts = outbox(stored(spark, d), sources(spark, d), domains(spark, d))
+    return posts.select("article_id", "channel", F.md5("post_text").alias("post_md5"))
+
+
+PUBLISH_OUTBOX_SQL = f"""
+SELECT n.id AS article_id, n.channel, p.post_md5 FROM ({PUBLISH_NEXT_SQL}) n
+JOIN ({POST_RENDER_SQL.replace("source_name || ' & <co>'", "source_name")}) p ON p.id = n.id
+"""
+
+
 def _footer_inputs(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents with tag tails, promotional lines and footer labels added by number.
 
@@ -262,6 +276,7 @@ SELECT 'b' || b AS batch_id, article_id, other_id, CAST(shared AS INTEGER) AS sh
 
 QUERIES = {
     "post_render": (post_render, POST_RENDER_SQL),
+    "publish_outbox": (publish_outbox, PUBLISH_OUTBOX_SQL),
     "post_footer": (post_footer, POST_FOOTER_SQL),
     "redact_text": (redact_text, REDACT_TEXT_SQL),
     "redact_nested": (redact_nested, REDACT_NESTED_SQL),

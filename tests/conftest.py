@@ -12,7 +12,9 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 def spark():
     from feedspark.session import local_session
 
-    session = local_session(4, "feedspark-tests", **{"spark.sql.shuffle.partitions": "4"})
+    # Tiny inputs spend their time compiling; tools/check.py runs the same operators with code generation.
+    tiny = {"spark.sql.shuffle.partitions": "4", "spark.sql.codegen.wholeStage": "false"}
+    session = local_session(4, "feedspark-tests", **tiny)
     yield session
     session.stop()
 
