@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.llm import embeddings, mixing, packed_ids, secrets, shards
+from feedspark.llm import embeddings, minhash, mixing, packed_ids, quality, secrets, shards
 from feedspark.llm.common import prepare, table
 
 SHARDS = 40
@@ -19,6 +19,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.judge(docs)
+
+
 def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -40,6 +45,10 @@ def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,10 +61,12 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_mcd_outliers": (quality_rules, None),
     "op2_pivotal_mixing": (mix, None),
     "op4_minimax_shards": (shard, None),
     "op6_binary_code_dedup": (embedding_dedup, None),
     "op7_packed_ids": (pack_tokens, None),
+    "op10_odd_sketch_dedup": (near_dedup, None),
     "op9_secret_scan": (secret_scan, None),
 }
 
