@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.llm import embeddings, minhash, mixing, packed_ids, quality, secrets, shards
+from feedspark.llm import embeddings, minhash, mixing, packed_ids, quality, secrets, shards, substrings
 from feedspark.llm.common import prepare, table
 
 SHARDS = 40
@@ -49,6 +49,10 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_binary_code_dedup": (embedding_dedup, None),
     "op7_packed_ids": (pack_tokens, None),
     "op10_odd_sketch_dedup": (near_dedup, None),
+    "op8_merged_bwt_dedup": (substring_dedup, None),
     "op9_secret_scan": (secret_scan, None),
 }
 
