@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.llm import embeddings, minhash, mixing, packed_ids, quality, secrets, shards, substrings
+from feedspark.llm import embeddings, minhash, mixing, packed_ids, pieces, preferences, quality, secrets, shards, substrings
 from feedspark.llm.common import prepare, table
 
 SHARDS = 40
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -38,7 +38,7 @@ def shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packed_ids.read_ids(packed_ids.write_ids(docs, _vocabulary("word_bpe_49k.json")))
+    return packed_ids.read_ids(packed_ids.write_ids(docs, vocabulary("word_bpe_49k.json")))
 
 
 def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +53,20 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return preferences.format_preferences(preferences.pair_up(preferences.gather(turns)))
+
+
+def encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    found = secrets.scan_secrets(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = secrets.scan_secrets(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     shown = F.array_join(
         F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
@@ -67,12 +76,14 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mcd_outliers": (quality_rules, None),
     "op2_pivotal_mixing": (mix, None),
+    "op3_preference_format": (preference_format, preferences.SQL),
     "op4_minimax_shards": (shard, None),
+    "op5_suffix_array_pieces": (encode_pieces, None),
     "op6_binary_code_dedup": (embedding_dedup, None),
     "op7_packed_ids": (pack_tokens, None),
-    "op10_odd_sketch_dedup": (near_dedup, None),
     "op8_merged_bwt_dedup": (substring_dedup, None),
     "op9_secret_scan": (secret_scan, None),
+    "op10_odd_sketch_dedup": (near_dedup, None),
 }
 
 

@@ -88,18 +88,14 @@ def random_spans(text: str, base: list[tuple[int, int, str]], scorer: TokenEffic
     return out
 
 
-def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, *, redacted: bool = False) -> DataFrame:
-    """Scan ``docs`` (doc_id, text): counts, a digest of the base spans, and all spans as structs.
-
-    With ``redacted`` the text follows with each covered stretch replaced by ``[SECRET]``.
-    """
+def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Scan ``docs`` (doc_id, text): counts, a digest of the base spans, and all spans as structs."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema(
         [
             ("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
             ("base_sha256", pa.string()), ("found", pa.list_(span)),
-            *([("redacted_text", pa.string())] if redacted else []),
         ]
     )
 
@@ -116,13 +112,28 @@ def scan_secrets(docs: DataFrame, ranks_path: str, pattern: str, *, redacted: bo
                 row["doc_id"] = doc_id
                 row["base_sha256"] = hashlib.sha256(spans_text(base).encode()).hexdigest()
                 row["found"] = [{"kind": k, "start": a, "end": b} for a, b, k in spans]
-                if redacted:
-                    row["redacted_text"] = given if not spans else redact(text, spans)
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     out = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind: string, start: long, end: long>>"
-    return narrow.mapInArrow(scan, out + (", redacted_text string" if redacted else ""))
+    return narrow.mapInArrow(scan, out)
+
+
+def redact_secrets(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``docs`` with all columns; each covered stretch of ``text`` is replaced by ``[SECRET]``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = TokenEfficiency(ranks_path, pattern)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = []
+            for text in batch.column(at).to_pylist():
+                base = base_spans(text or "")
+                spans = sorted(base + random_spans(text or "", base, scorer))
+                texts.append(redact(text, spans) if spans else text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def spans_text(spans: list[tuple[int, int, str]]) -> str:
