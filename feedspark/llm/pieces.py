@@ -9,9 +9,9 @@ is what merging would make of their joined text.  A row of pieces is the model's
 neighbouring pair is, so for each place one edge survives and the path is the model's own encoding.
 Characters outside the vocabulary are edges of their own and become byte pieces.
 
-No piece holds white space after other characters, nor a line break (checked when the vocabulary is read), so
-nothing is merged across the start of a word; words are therefore encoded once and remembered, up to
-``WORD_MEMORY`` per Python worker.
+Two characters that stand side by side in no piece are never merged across.  Texts are cut at such places
+(in front of white space and at line breaks if the vocabulary allows it, then inside words), so each part is encoded
+once and remembered, up to ``WORD_MEMORY`` parts per Python worker.
 
 Defined results.  A null or empty text has no ids and decodes to an empty text.  The escape character U+2581 decodes
 to a space, as in the model itself.  Rows are independent: repeated rows repeat their result, an empty table gives no
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-WORD_MEMORY = 400_000
+WORD_MEMORY = 600_000
 PAIR_MEMORY = 1_000_000
 # Bytes of joined words that are indexed at once.
 INDEXED = 1 << 18
@@ -59,13 +59,27 @@ class PieceModel:
             self.text[i] = names[i].encode()
         for value, i in self.bytes.items():
             self.text[i] = bytes([value])
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
-            raise ValueError("a piece crosses the start of a word")
         self.pieces = np.asarray(sorted(p.encode() for p in self.ids))
-        self.piece_text = [p.decode() for p in self.pieces.tolist()]
+        self.piece_text = [*(p.decode() for p in self.pieces.tolist()), ""]
+        self.begin = len(self.piece_text) - 1
+        self.piece_ids = [[self.ids[p]] for p in self.piece_text[:-1]] + [[]]
+        self.alphabet = {p for p in self.ids if len(p) == 1}
+        self.outside: dict[str, int] = {}
         self.longest = int(self.pieces.dtype.itemsize)
+        self.crossing = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.known_parts: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+
+    def parts(self, word: str) -> list[str]:
+        """The word cut between characters that stand side by side in no piece: nothing merges across."""
+        out, begin, inside = [], 0, self.inside
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in inside:
+                out.append(word[begin:i])
+                begin = i
+        return [*out, word[begin:]]
 
     def merge(self, text: str) -> list[str]:
         """The model's merging of a short text: always the best pair, the leftmost among equals."""
@@ -82,15 +96,22 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the two pieces may stand side by side (an empty left one: at the start)."""
-        key = (left, right)
-        found = self.pairs.get(key)
+    def fits(self, left: int, right: int) -> bool:
+        """Whether two pieces may stand side by side; ``self.begin`` on the left is the start of a word."""
+        if len(self.pairs) >= PAIR_MEMORY:
+            self.pairs.clear()
+        x, y = self.piece_text[left], self.piece_text[right]
+        found = self.merge(x + y) == ([x, y] if x else [y])
+        self.pairs[left << 24 | right] = found
+        return found
+
+    def strange(self, char: str) -> int:
+        """A number for a character outside the vocabulary, so that it can be an edge."""
+        found = self.outside.get(char)
         if found is None:
-            if len(self.pairs) >= PAIR_MEMORY:
-                self.pairs.clear()
-            found = self.merge(left + right) == ([left, right] if left else [right])
-            self.pairs[key] = found
+            found = self.outside[char] = len(self.piece_text)
+            self.piece_text.append(char)
+            self.piece_ids.append([self.bytes[b] for b in char.encode()])
         return found
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,54 +131,70 @@ class PieceModel:
         piece = np.repeat(np.arange(len(count)), count)
         start = order[np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
         end = start + np.char.str_len(self.pieces)[piece]
+        extra = [
+            (at, at + len(c.encode()), self.strange(c))
+            for w, at in zip(words, self.begins(words).tolist(), strict=True)
+            if not self.alphabet.issuperset(w)
+            for c, at in zip(w, np.cumsum([at, *(len(c.encode()) for c in w[:-1])]).tolist(), strict=True)
+            if c not in self.alphabet
+        ]
+        if extra:
+            start, end, piece = (np.concatenate([x, y]) for x, y in zip((start, end, piece), zip(*extra), strict=True))
         by_end = np.lexsort((start, end))
         return start[by_end], end[by_end], piece[by_end]
 
+    @staticmethod
+    def begins(words: list[str]) -> np.ndarray:
+        """Where each word starts in the joined bytes."""
+        return np.cumsum([0, *(len(w.encode()) + 1 for w in words[:-1])])
+
     def relax(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit numbers."""
-        starts, ends, pieces = (x.tolist() for x in self.edges(words))
-        out, at, k = [], 0, 0
-        texts = self.piece_text
-        for word in words:
-            last: dict[int, tuple[int, str]] = {at: (-1, "")}
-            place = at
-            for char in word:
-                place += len(char.encode())
-                if char not in self.ids:
-                    begin = place - len(char.encode())
-                    if begin in last and self.fits(last[begin][1], char):
-                        last[place] = (begin, char)
-                while k < len(ends) and ends[k] <= place:
-                    begin = starts[k]
-                    if ends[k] == place and begin in last and begin >= at:
-                        piece = texts[pieces[k]]
-                        if self.fits(last[begin][1], piece):
-                            last[place] = (begin, piece)
-                    k += 1
-            path = []
+        begins = self.begins(words).tolist()
+        size = begins[-1] + len(words[-1].encode()) + 1
+        last, before = [-1] * size, [-1] * size  # the piece that ends at a place, and where it begins
+        for at in begins:
+            last[at] = self.begin
+        known, fits = self.pairs, self.fits
+        for start, end, piece in zip(*(x.tolist() for x in self.edges(words)), strict=True):
+            if last[end] < 0 and last[start] >= 0:
+                fit = known.get(last[start] << 24 | piece)
+                if fits(last[start], piece) if fit is None else fit:
+                    last[end], before[end] = piece, start
+        out = []
+        for at, word in zip(begins, words, strict=True):
+            place, path = at + len(word.encode()), []
             while place != at:
-                place, piece = last[place]
-                path.append(piece)
-            ids: list[int] = []
-            for piece in reversed(path):
-                own = self.ids.get(piece)
-                ids += [own] if own is not None else [self.bytes[b] for b in piece.encode()]
+                path.append(last[place])
+                place = before[place]
+            ids = [i for piece in reversed(path) for i in self.piece_ids[piece]]
             out.append(np.asarray(ids, "<i4").tobytes())
-            at += len(word.encode()) + 1
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if self.crossing:
+            return self.relax([SPACE + t.replace(" ", SPACE) for t in texts if t]) if all(texts) else [
+                self.encode([t])[0] if t else b"" for t in texts
+            ]
         split = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = list(dict.fromkeys(u for units in split for u in units if u not in self.known))
-        fresh: dict[str, bytes] = {}
+        cut = [self.parts(u) for u in new]
+        known_parts = self.known_parts
+        missing = list(dict.fromkeys(p for c in cut for p in c if p not in known_parts))
+        found: dict[str, bytes] = {}
         part: list[str] = []
         size = 0
-        for k, unit in enumerate(new):
-            part.append(unit)
-            size += len(unit)
-            if size >= INDEXED or k == len(new) - 1:
-                fresh.update(zip(part, self.relax(part), strict=True))
+        for k, p in enumerate(missing):
+            part.append(p)
+            size += len(p)
+            if size >= INDEXED or k == len(missing) - 1:
+                found.update(zip(part, self.relax(part), strict=True))
                 part, size = [], 0
+        if len(known_parts) + len(found) <= WORD_MEMORY:
+            known_parts.update(found)
+        fresh = {
+            u: b"".join([found[p] if p in found else known_parts[p] for p in c]) for u, c in zip(new, cut, strict=True)
+        }
         if len(self.known) + len(fresh) <= WORD_MEMORY:
             self.known.update(fresh)
             return [b"".join([self.known[u] for u in units]) for units in split]
