@@ -1,18 +1,17 @@
 """Exact substring dedup: every byte covered by a 100-byte string that also starts earlier.
 
-1. Texts equal to an earlier text are covered as a whole; only the first of each goes on.
-2. Each 100-byte window is assigned to its anchor, the 32-byte string in it with the smallest hash.  Equal
+1. Each 100-byte window is assigned to its anchor, the 32-byte string in it with the smallest hash.  Equal
    windows have equal anchors at equal places.  A run of windows with one anchor is a cell; a cell is known
    by its anchor's hash and a hash of all its bytes.  Anchors that occur once are dropped: their windows
    are unique.  Of equal cells all but the first are removed; they never need their text again.
-3. What is left are different cells with a common anchor, mostly the edges of shared passages.  Their
+2. What is left are different cells with a common anchor, mostly the edges of shared passages.  Their
    bytes are collected per anchor in buckets of bounded size.  A bucket is cut into shards; each shard
    gets a Burrows-Wheeler transform of its own, and the transforms are merged by refining their
    interleave: in round h the merged order is right for the first h bytes, because sorting the symbols of the
    present order stably prepends one byte to every suffix.  Borders between suffixes whose first h
    bytes differ are carried along, so after 100 rounds the stretches without a border are the repeated
    intervals, and no suffix of the bucket was sorted anew.
-4. An anchor with more than ``HOT_CELLS`` different cells would make a bucket too large.  Its windows are
+3. An anchor with more than ``HOT_CELLS`` different cells would make a bucket too large.  Its windows are
    compared one by one through a mergeable minimum over two 64-bit hashes.
 
 Defined results.  A null or empty text has 0 bytes and keeps none.  Texts under 100 bytes keep all.  A row without
@@ -181,17 +180,18 @@ def repeated_intervals(shards: list[list[bytes]], depth: int = LENGTH) -> tuple[
     built = [transform(s) for s in shards]
     sizes = [len(b) for b, _ in built]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    source = np.repeat(np.arange(len(built)), sizes)
+    source = np.repeat(np.arange(len(built), dtype=np.uint16), sizes)  # stable sorts of 16 bits are radix sorts
+    all_symbols = np.concatenate([b for b, _ in built])
     symbols = np.empty(offsets[-1], np.uint16)
-    group = np.zeros(offsets[-1], np.int64)
+    group = np.zeros(offsets[-1], np.int32)
     for _ in range(depth):
         # Each shard is consumed in its own order, whatever the interleave.
-        symbols[np.argsort(source, kind="stable")] = np.concatenate([b for b, _ in built])
+        symbols[np.argsort(source, kind="stable")] = all_symbols
         order = np.argsort(symbols, kind="stable")
         source, ordered, before = source[order], symbols[order], group[order]
         border = np.ones(len(order), bool)
         border[1:] = (ordered[1:] != ordered[:-1]) | (before[1:] != before[:-1]) | (ordered[1:] == 0)
-        group = np.cumsum(border)
+        group = np.cumsum(border, dtype=np.int32)
         if group[-1] == len(group):
             break
     places = np.empty(offsets[-1], np.int64)
@@ -295,12 +295,11 @@ def _cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, str, lis
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     for batch in batches:
-        docs, texts, copies, ranges = (batch.column(k).to_pylist() for k in range(4))
+        texts, ranges = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         out = []
-        for text, copy, found in zip(texts, copies, ranges, strict=True):
+        for text, found in zip(texts, ranges, strict=True):
             data = text or b""
-            given = [(0, len(data) - LENGTH + 1)] if copy and len(data) >= LENGTH else [(r["lo"], r["n"]) for r in found or []]
-            out.append((len(data), *_cut(data, given)))
+            out.append((len(data), *_cut(data, [(r["lo"], r["n"]) for r in found or []])))
         size, gone, n, digest, spans = zip(*out, strict=True) if out else ((),) * 5
         yield pa.RecordBatch.from_arrays(
             [
@@ -317,15 +316,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("data")
     )
-    keyed = rows.withColumn("digest", F.unhex(F.sha2("data", 256)))
-    firsts = keyed.select("doc_id", "digest").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    own = set_aside(
-        keyed.select("doc_id", "digest").join(firsts, "digest").filter("doc_id is not null")
-        .select("doc_id", (F.col("doc_id") > F.col("first")).alias("copy")).distinct()
-        .groupBy("doc_id").agg(F.min("copy").alias("copy"))
-    )
-    copies = own.filter("copy")
-    fresh = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("data") >= LENGTH)).join(copies, "doc_id", "left_anti")
+    fresh = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("data") >= LENGTH))
     cells = fresh.mapInArrow(_extract, CELLS)
     compared = set_aside(
         cells.repartition(width, "kind", "route").sortWithinPartitions("kind", "route", "cell", "doc_id", "lo")
@@ -335,7 +326,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     crowded = shared.groupBy("route").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_CELLS).select("route", F.lit(True).alias("hot"))
     flagged = shared.join(crowded, "route", "left").select("doc_id", F.struct("route", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
     asked = flagged.groupBy("doc_id").agg(F.collect_list("c").alias("cells"))  # within one document
-    texts = fresh.join(asked, "doc_id").withColumn("c", F.explode("cells"))
+    texts = fresh.join(asked.hint("merge"), "doc_id").withColumn("c", F.explode("cells"))
     cut = set_aside(
         texts.select(
             F.col("c.route").alias("route"), "doc_id", F.col("c.lo").alias("lo"), F.col("c.hot").alias("hot"),
@@ -356,9 +347,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         again = windows.join(least, ["h1", "h2"]).filter(place > F.col("_first"))
         removals = removals.unionByName(again.select("doc_id", "lo", F.lit(1).alias("n")))
     gathered = removals.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))  # within one document
-    facts = own.join(gathered, "doc_id", "left")
+    # What is removed grows with the input: it is never broadcast to the texts.
     return (
-        rows.join(facts, "doc_id", "left").select("doc_id", "data", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges")
+        rows.join(gathered.hint("merge"), "doc_id", "left").select("doc_id", "data", "ranges")
         .mapInArrow(
             _finish,
             "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>",
