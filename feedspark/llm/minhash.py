@@ -209,14 +209,19 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         add(set_aside(confirm(sketched(pairs.select("a", F.col("id").alias("b"))), sets)))
     placed = set_aside(members.join(group, "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
-    open_rows = placed.join(mixed.select("key"), "key")
+    open_rows = placed.join(mixed.select("key"), "key").join(sketches, "id")
     x, y = open_rows.alias("x"), open_rows.alias("y")
+    # The sketches decide inside the join, so only pairs near the threshold ever become rows.
     cross = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")))
+        x.join(
+            y,
+            (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
+            & (F.col("x.component") != F.col("y.component")) & near_enough("x.sketch", "y.sketch"),
+        )
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
     )
-    add(set_aside(confirm(sketched(cross), sets)))
+    add(set_aside(confirm(cross, sets)))
     return found
 
 
