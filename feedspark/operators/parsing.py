@@ -28,6 +28,8 @@ NO_TITLE_LINE = "READY_TO_PUBLISH output must contain 'Title: ...'"
 NO_TEXT_LINE = "READY_TO_PUBLISH output must contain 'Text: ...'"
 NO_TITLE = "READY_TO_PUBLISH output is missing title"
 NO_BODY = "READY_TO_PUBLISH output is missing text body"
+# Stands for the message of a failed request that recorded none.
+NO_ANSWER = "No answer recorded"
 
 
 def _position(lines: Column, test) -> Column:
@@ -126,7 +128,8 @@ def parse_blocks(responses: DataFrame) -> DataFrame:
     A block without article id is no result at all.  Every answer also gives one row without article
     id; its ``failure`` tells why the answer is unusable as a whole, if it is.
     """
-    failure = F.when(~F.col("ok"), F.col("error_message")).otherwise(batch_failure())
+    unanswered = F.coalesce(F.col("error_message"), F.lit(NO_ANSWER))
+    failure = F.when(~F.coalesce("ok", F.lit(False)), unanswered).otherwise(batch_failure())
     judged = extract_blocks(responses).withColumn("failure", failure)
     usable = F.when(F.col("failure").isNull(), F.col("blocks")).otherwise(F.array().cast("array<string>"))
     blocks = judged.select(
