@@ -11,19 +11,16 @@ from feedspark.catalog.views import table
 from feedspark.operators.usage import match_pricing, price_usage, summarize_usage, usage_by_batch
 from feedspark.sources.responses import parse_api_errors, parse_responses
 
-_PRICES = (("m-5", "1.75", "14.00"), ("m-5-mini", "0.25", "2.00"), ("m-5.4-mini", "0.75", "4.50"), ("z", "9.99", "0"))
+# Keys of growing length, one that is a prefix of another without a dash, and one that no request uses.
+_KEYS = ("larch", "larch-short", "larch-short-fast", "larches", "unused")
+_PRICES = tuple((key, f"{n + 1}.{n}5", f"{7 * n + 3}.5") for n, key in enumerate(_KEYS))
 _PRICES_CTE = "prices(model_key, input_price, output_price) AS (VALUES " + ", ".join(
     f"('{key}', CAST({a} AS DECIMAL(18,6)), CAST({b} AS DECIMAL(18,6)))" for key, a, b in _PRICES
 ) + ")"
 
-# Model of an order by its priority: exact, versioned, longest-key, unpriced prefix, unknown.
-_MODELS = {
-    "1-URGENT": "m-5",
-    "2-HIGH": "m-5-2026-01-01",
-    "3-MEDIUM": "m-5-mini-2026-06-01",
-    "4-NOT SPECIFIED": "m-5.4-mini",
-    "5-LOW": "m-50-large",
-}
+# Model of an order by its priority: a key, a version of it, a version of the longest key, a neighbour, no key.
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_MODELS = dict(zip(_PRIORITIES, (_KEYS[0], f"{_KEYS[0]}-v7", f"{_KEYS[2]}-v7", _KEYS[3], f"{_KEYS[0]}x"), strict=True))
 _MODEL_SQL = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _MODELS.items()) + " END"
 
 
@@ -41,7 +38,7 @@ def order_responses(spark: SparkSession, d: str) -> DataFrame:
     tokens_out = F.col("o_custkey")
     return table(spark, d, "orders").select(
         F.concat(F.lit("b"), "o_orderkey").alias("batch_id"),
-        F.lit("m-5").alias("requested_model"),
+        F.lit(_KEYS[0]).alias("requested_model"),
         model.alias("model"),
         F.when(F.col("o_orderstatus") == "F", F.lit("completed")).when(
             F.col("o_orderstatus") == "O", F.lit("incomplete")
@@ -59,7 +56,7 @@ def order_responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 RESPONSES_CTE = f"""{_PRICES_CTE}, responses AS (
-  SELECT 'b' || o_orderkey AS batch_id, 'm-5' AS requested_model, {_MODEL_SQL} AS model,
+  SELECT 'b' || o_orderkey AS batch_id, '{_KEYS[0]}' AS requested_model, {_MODEL_SQL} AS model,
     CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'incomplete' END AS status,
     o_orderkey % 20 + 1 AS articles, o_orderkey % 17 <> 5 AS ok,
     CASE WHEN o_orderkey % 31 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS input_tokens,

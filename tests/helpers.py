@@ -47,7 +47,7 @@ def attempts(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 def responses(spark: SparkSession, records: list[dict]) -> DataFrame:
     base = {
-        "batch_id": "b1", "requested_model": "m-5", "articles": 1, "ok": True, "model": "m-5", "status": "completed",
+        "batch_id": "b1", "requested_model": "larch", "articles": 1, "ok": True, "model": "larch", "status": "completed",
         "input_tokens": 0, "output_tokens": 0, "total_tokens": 0, "cached_tokens": 0, "reasoning_tokens": 0,
     }
     return rows(spark, RESPONSES, [{**base, **r} for r in records])

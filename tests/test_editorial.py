@@ -221,7 +221,8 @@ def test_candidate_lists(spark):
     assert [r.source_name for r in articles_by_ids(store, known, ids).collect()] == ["Name s1"]
 
 
-PRICES = [("m-5.2", "1", "2"), ("m-5.4-mini", "1", "2"), ("m-5-mini", "1", "2"), ("m-5", "3", "4")]
+KEYS = ["larch", "larch-short", "larch-short-fast", "larches"]
+PRICES = [(key, str(2 * n + 1), str(n + 2)) for n, key in enumerate(KEYS)]
 
 
 def prices(spark):
@@ -229,17 +230,15 @@ def prices(spark):
 
 
 def test_versioned_model_names(spark):
-    models = spark.createDataFrame(
-        [("m-5.2-2025-12-11",), ("m-5.4-mini-2026-01-01",), ("m-5-mini",), ("m-5-mini-2026-06-01",), ("m-50",), ("",), (None,)],
-        "model string",
-    )
-    got = {r.model: r.model_key for r in match_pricing(models, prices(spark)).collect()}
-    assert got == {"m-5.2-2025-12-11": "m-5.2", "m-5.4-mini-2026-01-01": "m-5.4-mini", "m-5-mini": "m-5-mini",
-                   "m-5-mini-2026-06-01": "m-5-mini"}
+    """A key matches itself and its versions after a dash; the longest one counts; nothing else matches."""
+    want = {name: key for key in KEYS for name in (key, f"{key}-v3", f"{key}-v3-b")}
+    others = [f"{KEYS[0]}x", f"x-{KEYS[0]}", KEYS[0][:-1], "", None]
+    models = spark.createDataFrame([(m,) for m in [*want, *others]], "model string")
+    assert {r.model: r.model_key for r in match_pricing(models, prices(spark)).collect()} == want
 
 
 def usage(spark, records):
-    return price_usage(responses(spark, [{"model": "m-5.2", "articles": 20, **r} for r in records]), prices(spark))
+    return price_usage(responses(spark, [{"model": "larch", "articles": 20, **r} for r in records]), prices(spark))
 
 
 def test_usage_totals(spark):
@@ -253,7 +252,7 @@ def test_usage_totals(spark):
     assert (got.input_tokens, got.output_tokens, got.total_tokens, got.cached_tokens, got.reasoning_tokens) == (300, 130, 430, 10, 3)
     assert (got.completed_response_count, got.incomplete_response_count) == (1, 1)
     assert (got.total_cost_usd, got.average_cost_per_article_usd, got.total_cost_cents) == ("0.000560", "0.000014", 0)
-    assert got.model == "m-5.2"
+    assert got.model == "larch"
 
 
 def test_usage_with_failures_and_several_models(spark):
@@ -274,8 +273,8 @@ def test_report_forms(spark):
     idle = labels(usage_report(summarize_usage(usage(spark, []))))
     assert list(idle) == ["LLM stage not executed"]
     failed = labels(usage_report(summarize_usage(usage(spark, [
-        {"batch_id": str(n), "ok": False, "model": None, "requested_model": "m-5-mini"} for n in range(5)]))))
-    assert (failed["Model"], failed["Failed requests"], failed["Total cost USD"]) == ("m-5-mini", "5", "unavailable")
+        {"batch_id": str(n), "ok": False, "model": None, "requested_model": "larch-short"} for n in range(5)]))))
+    assert (failed["Model"], failed["Failed requests"], failed["Total cost USD"]) == ("larch-short", "5", "unavailable")
     normal = labels(usage_report(summarize_usage(usage(spark, [
         {"batch_id": str(n), "input_tokens": 1000, "output_tokens": 500, "total_tokens": 1500} for n in range(2)]))))
     assert (normal["Total cost USD"], normal["Average cost/article"], normal["Total cost cents"]) == ("$0.004000", "$0.000100", "0")
@@ -285,7 +284,7 @@ def test_report_forms(spark):
 
 
 ANSWER = (
-    '{"model": "m-5.2", "status": "completed", "output": [{"type": "reasoning"}, {"type": "message", "role": "assistant", '
+    '{"model": "larch", "status": "completed", "output": [{"type": "reasoning"}, {"type": "message", "role": "assistant", '
     '"content": [{"type": "output_text", "text": " Hello "}, {"type": "output_text", "text": ""}]}], "usage": {"input_tokens": 100, '
     '"output_tokens": 50, "total_tokens": 150, "input_tokens_details": {"cached_tokens": 7}, '
     '"output_tokens_details": {"reasoning_tokens": 11}}}'
@@ -301,7 +300,7 @@ def test_recorded_answers(spark):
     got = {r.batch_id: r for r in parse_responses(landed).collect()}
     one = got["1"]
     assert (one.output_text, one.model, one.total_tokens, one.cached_tokens, one.reasoning_tokens, one.ok) == (
-        "Hello", "m-5.2", 150, 7, 11, True
+        "Hello", "larch", 150, 7, 11, True
     )
     assert (got["2"].model, got["2"].incomplete_reason, got["2"].total_tokens, got["2"].ok) == ("asked", "max_output_tokens", 0, False)
     assert got["3"].error_message == "Responses API returned no output_text"

@@ -218,7 +218,7 @@ def test_source_health(spark, now):
 def test_config_tables(spark, tmp_path):
     path = tmp_path / "settings.json"
     path.write_text(
-        '{"llm": {"pricing": {"models": {"m-5": {"input_price_per_million_usd": 1.75}}}}, "domains": ['
+        '{"llm": {"pricing": {"models": {"larch": {"input_price_per_million_usd": 1.25}}}}, "domains": ['
         '{"id": "football", "name": "F", "llm": {"pipeline_prompt": "f.txt"}, "telegram": {"channel_id": "c"}, "sources": ['
         '{"id": "s1", "type": "rss", "name": "S", "url": "u", "config": {"rss_max_items": 50}},'
         '{"id": "s2", "type": "website", "name": "W"}]}, {"id": "ai", "name": "A", "sources": []}]}'
@@ -232,7 +232,7 @@ def test_config_tables(spark, tmp_path):
         "max_article_age_hours": 24, "max_published_per_run": 2, "interval_seconds": 60, "default_target_language": "ru",
         "max_articles_per_run": 100, "batch_size": 20,
     }
-    assert str(cfg.pricing(config).first().input_price) == "1.750000"
+    assert str(cfg.pricing(config).first().input_price) == "1.250000"
     assert [r.id for r in select_domains(cfg.domains(config), ["ai"]).collect()] == ["ai"]
     with pytest.raises(ValueError, match="nope"):
         select_domains(cfg.domains(config), ["ai", "nope"])

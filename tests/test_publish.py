@@ -94,16 +94,19 @@ def test_capped_run(spark, now, cap):
     assert all(kept[i] == ("READY", "failed") for i, a in want if a == "fail")
 
 
+def footer_cases():
+    """Every way to end a post, combined: body, place of its tags, source name and address."""
+    for body in ("Ein Satz.", "<b>Kopf</b>\n\nErster.\n\nZweiter."):
+        for tags in ([], ["#eins"], ["#eins", "#zwei", "#drei"]):
+            for source, url in (("Quelle", "https://q/1"), ("Quelle", None), ("", "")):
+                shown = f"Source: {source or 'AI News'}" + (f"\nOriginal: {url}" if url else "")
+                want = f"{body}\n\n{shown}\n" + (f"\n{' '.join(tags)}\n" if tags else "")
+                for tail in ("\n\n" + "\n".join(tags), "\n\n" + " ".join(tags) + "\n", " " + " ".join(tags)):
+                    yield body + tail if tags else body, source, url, want
+
+
 FOOTER_CASES = [
-    ("<b>Z</b>\n\nСуть.\n\n#ai\n#tools\n", "Blog", "https://o/x",
-     "<b>Z</b>\n\nСуть.\n\nSource: Blog\nOriginal: https://o/x\n\n#ai #tools\n"),
-    ("<b>T</b>\n\nBody\n", "", "", "<b>T</b>\n\nBody\n\nSource: AI News\n"),
-    ("<b>T</b>\n\nBody\n\nSource: Blog\nOriginal: https://x\n\n#ai\n", "Blog", "https://x",
-     "<b>T</b>\n\nBody\n\nSource: Blog\nOriginal: https://x\n\n#ai\n"),
-    ("<b>T</b>\n\nПодробнее тут. Source: Blog\n\n#ai\n", "Blog", "https://o/x",
-     "<b>T</b>\n\nSource: Blog\nOriginal: https://o/x\n\n#ai\n"),
-    ("<b>T</b>\n\nИтог дня. #ai #tools #work\n", "Blog", "https://o/x",
-     "<b>T</b>\n\nИтог дня.\n\nSource: Blog\nOriginal: https://o/x\n\n#ai #tools #work\n"),
+    *footer_cases(),
     ("Text\n\n#ai\n\n#Big #ai #ai\n", "S", None, "Text\n\n#ai\n\nSource: S\n\n#ai\n"),
     ("#ai #two", "S", None, "Source: S\n\n#ai #two\n"),
     ("a\n\n  #x", "S", None, "a\n\nSource: S\n\n#x\n"),
