@@ -8,10 +8,10 @@ estimates how many minima differ, and it is most precise for similar sets.  A ca
 sketches are too far apart for the threshold, by ``SURE`` standard deviations, is dropped; every other one is
 confirmed on the full sets.
 
-Groups of near copies are not expanded into pairs.  First every class is confirmed against the smallest
-class of its bands, which joins a group of m copies with m comparisons; this is repeated among those
-that found no partner.  Only then are candidates from different groups that still share a band compared
-in full, so no link between two groups is lost.
+Groups of near copies are not expanded into pairs.  First every class is confirmed against the ``HEADS`` heads
+of its bands with which it shares most bands, which joins a group of m copies with few comparisons each; this
+is repeated with other heads for rows whose head is of another group.  Only then are candidates from different
+groups that still share a band compared in full, so no link between two groups is lost.
 
 A pair at the threshold shares no band with probability (1 - 0.75**4)**32 < 0.00001.
 
@@ -43,7 +43,8 @@ THRESHOLD = 0.75
 SKETCH_BITS = 1024
 SKETCH_WORDS = SKETCH_BITS // 64
 SURE = 5.0
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
+HEADS = 3
 
 _rng = np.random.default_rng(5)
 _FACTOR = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,12 +88,16 @@ def odd_sketch(minima: np.ndarray) -> np.ndarray:
 def most_unequal(threshold: float = THRESHOLD) -> int:
     """Unequal bits above which two sets at the threshold are found with negligible chance.
 
-    Of the minima, Binomial(HASHES, 1 - threshold) differ; each differing one flips two bits.
+    Of the minima, Binomial(HASHES, 1 - threshold) differ; each differing one flips two bits.  Flips that meet
+    in one bit cancel, which adds the spread of an occupancy.  The two spreads are independent.
     """
-    differ = HASHES * (1 - threshold) + SURE * math.sqrt(HASHES * threshold * (1 - threshold))
-    flips = 2 * min(differ, HASHES)
-    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)
-    return math.ceil(expected + SURE * math.sqrt(expected))
+    m, differ = SKETCH_BITS, HASHES * (1 - threshold)
+    one, two = (1 - 2 / m) ** (2 * differ), (1 - 4 / m) ** (2 * differ)
+    odd, both_odd = (1 - one) / 2, (1 - 2 * one + two) / 4
+    occupancy = m * odd + m * (m - 1) * both_odd - (m * odd) ** 2
+    per_minimum = -m * math.log(1 - 2 / m) * one
+    spread = math.sqrt(per_minimum**2 * differ * threshold + max(occupancy, 0.0))
+    return math.ceil(m * odd + SURE * spread)
 
 
 def near_enough(a: str, b: str) -> Column:
@@ -175,54 +180,48 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) that connect the same ``classes`` (id, bands, sketch) as all links do."""
-    members = set_aside(classes.select("id", "sketch", F.posexplode("bands").alias("t", "key")).select("id", "key"))
+    members = set_aside(classes.select("id", F.explode("bands").alias("key")))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
     members = set_aside(members.join(shared, "key"))
     sketches = classes.select("id", "sketch")
     sets = set_aside(_sets(docs, members.select("id").distinct()))
-    found: DataFrame | None = None
-    group = members.select("id").distinct().withColumn("component", F.col("id"))
-
-    def sketched(pairs: DataFrame) -> DataFrame:
-        """Only the pairs whose sketches are near enough."""
-        left, right = sketches.toDF("a", "sa"), sketches.toDF("b", "sb")
-        return pairs.join(left, "a").join(right, "b").filter(near_enough("sa", "sb")).select("a", "b")
-
-    def add(links: DataFrame) -> None:
-        nonlocal found, group
-        found = links if found is None else set_aside(found.union(links))
-        seen = components(found)
-        group = set_aside(
-            members.select("id").distinct().join(seen, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    found = members.sparkSession.createDataFrame([], "a long, b long")
+    placed = members.withColumn("component", F.col("id"))
+
+    for turn in range(STAR_ROUNDS):
+        # In each band one row is the head: first the smallest id, then another one by chance in each round.
+        lot = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        heads = placed.groupBy("key").agg(F.min(F.struct(lot.alias("lot"), "id", "component")).alias("h"))
+        asked = (
+            placed.join(heads, "key").filter(F.col("component") != F.col("h.component"))
+            .groupBy("id", F.col("h.id").alias("a")).agg(F.count(F.lit(1)).alias("bands"))
         )
-
-    for _ in range(STAR_ROUNDS):
-        # Those in a group of their own, against the first group of the band they do not belong to.
-        placed = members.join(group, "id")
-        heads = placed.groupBy("key").agg(F.min("id").alias("a"))
-        lone = placed.filter(F.col("component") == F.col("id")) if found is not None else placed
-        if found is not None:
-            crowd = group.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("component")
-            lone = lone.join(crowd, "component", "left_anti")
-            heads = lone.groupBy("key").agg(F.min("id").alias("a"))
-        pairs = lone.join(heads, "key").filter(F.col("a") < F.col("id")).groupBy("id").agg(F.min("a").alias("a"))
-        add(set_aside(confirm(sketched(pairs.select("a", F.col("id").alias("b"))), sets)))
-    placed = set_aside(members.join(group, "id"))
+        # The heads that share most bands are the most similar ones; a row has at most BANDS of them.
+        best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("bands")).alias("bands"), "a"))), 1, HEADS)
+        pairs = asked.groupBy("id").agg(best.alias("best")).select(F.col("id").alias("b"), F.explode("best.a").alias("a"))
+        near = (
+            pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
+            .filter(near_enough("sa", "sb")).select("a", "b")
+        )
+        links = set_aside(confirm(near, sets))
+        found = found.union(links)
+        seen = components(found).withColumnRenamed("component", "_seen")
+        placed = set_aside(
+            members.join(seen, "id", "left").select("id", "key", F.coalesce("_seen", "id").alias("component"))
+        )
+        if links.isEmpty():
+            break
     mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
-    open_rows = placed.join(mixed.select("key"), "key").join(sketches, "id")
+    open_rows = placed.join(mixed.select("key"), "key").join(classes, "id")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    # The sketches decide inside the join, so only pairs near the threshold ever become rows.
-    cross = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
-            & (F.col("x.component") != F.col("y.component")) & near_enough("x.sketch", "y.sketch"),
-        )
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-    )
-    add(set_aside(confirm(cross, sets)))
-    return found
+    # The sketches decide inside the join, and a pair comes up in the first of its common bands only.
+    cross = x.join(
+        y,
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.component") != F.col("y.component")) & near_enough("x.sketch", "y.sketch")
+        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")),
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return found.union(set_aside(confirm(cross, sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
