@@ -103,19 +103,24 @@ FROM (SELECT page_id, url, html, regexp_extract(url, '^https?://[^/]+/([a-z]{2})
 
 
 def feed_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The pages rendered as feed documents of at most ten items: RSS, Atom, or broken off."""
+    """The pages rendered as feed documents of at most ten items: RSS, Atom, or broken off in the last item.
+
+    Items carry what real feeds carry: prefixed elements that resemble plain ones, named HTML entities and CDATA.
+    """
     p = table(spark, d, "pages").withColumn("doc", F.floor(F.col("page_id") / 10))
     title, url, html = (
         html_escape(F.regexp_extract("html", _TITLE, 1)), html_escape(F.col("url")), html_escape(F.col("html"))
     )
     key = F.concat(F.lit("p"), "page_id")
     rss = F.concat(
-        F.lit("<item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><guid isPermaLink='false'>"), key,
+        F.lit("<item><title>"), title, F.lit("&nbsp;!</title><media:title>M</media:title><media:description>N"
+              "</media:description><atom:link href='none' rel='self'/><dc:creator>c</dc:creator><link>"), url, F.lit("</link><guid isPermaLink='false'>"), key,
         F.lit("</guid><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate><category>one</category>"
-              "<category>two</category><content:encoded>"), html, F.lit("</content:encoded></item>"),
+              "<category>two</category><content:encoded><![CDATA["), F.col("html"),
+        F.lit("]]></content:encoded></item>"),
     )
     atom = F.concat(
-        F.lit("<entry><title>"), title, F.lit("</title><link rel='self' href='none'/><link href='"), url,
+        F.lit("<entry><title>"), title, F.lit("&nbsp;!</title><media:title>M</media:title><link rel='self' href='none'/><link href='"), url,
         F.lit("'/><id>"), key, F.lit("</id><published>2024-01-01T10:00:00Z</published><category term='one'/>"
                                      "<content type='html'>"), html, F.lit("</content></entry>"),
     )
@@ -136,25 +141,29 @@ def feed_documents(spark: SparkSession, d: str) -> DataFrame:
     return body.select(
         F.concat(F.lit("feed"), "doc").alias("source_id"),
         F.lit("r").alias("run_id"),
-        F.when(broken, F.substring(whole, F.lit(1), F.length(whole) - 12)).otherwise(whole).alias("body"),
+        F.when(broken, F.substring(whole, F.lit(1), F.length(whole) - 25)).otherwise(whole).alias("body"),
     )
 
 
 def feed_xml_parse(spark: SparkSession, d: str) -> DataFrame:
     entries, _ = parse_feeds(feed_documents(spark, d))
     return entries.drop("run_id").select(
-        "source_id", "pos", "link", "title", "id", "published",
+        "source_id", "pos", "link", "title", "id", "published", "summary", "author",
         F.md5(F.get("content", 0)["value"]).alias("content_md5"),
         F.array_join(F.transform("tags", lambda t: t["term"]), ",").alias("tags"),
     )
 
 
-FEED_XML_SQL = """
+# A document that breaks off keeps all its items but the last.
+LOST_ITEM = "page_id // 10 % 7 = 3 AND page_id = (SELECT max(page_id) FROM pages q WHERE q.page_id // 10 = pages.page_id // 10)"
+
+FEED_XML_SQL = f"""
 SELECT 'feed' || page_id // 10 AS source_id, page_id % 10 AS pos, url AS link,
-  trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, 'p' || page_id AS id,
+  ltrim(regexp_extract(html, '<title>([^<]*)</title>', 1)) || chr(160) || '!' AS title, 'p' || page_id AS id,
   CASE WHEN page_id // 10 % 3 = 1 THEN '2024-01-01T10:00:00Z' ELSE 'Mon, 01 Jan 2024 10:00:00 GMT' END AS published,
+  CAST(NULL AS VARCHAR) AS summary, CASE WHEN page_id // 10 % 3 <> 1 THEN 'c' END AS author,
   md5(html) AS content_md5, CASE WHEN page_id // 10 % 3 = 1 THEN 'one' ELSE 'one,two' END AS tags
-FROM pages WHERE page_id // 10 % 7 <> 3
+FROM pages WHERE NOT ({LOST_ITEM})
 """
 
 
@@ -164,7 +173,7 @@ def feed_xml_warnings(spark: SparkSession, d: str) -> DataFrame:
 
 
 FEED_WARNINGS_SQL = """
-SELECT DISTINCT 'feed' || page_id // 10 AS source_id, 'feed_parse_warning' AS event
+SELECT DISTINCT 'feed' || page_id // 10 AS source_id, 'feed_parse_warning' AS event, CAST(1 AS BIGINT) AS lost
 FROM pages WHERE page_id // 10 % 7 = 3
 """
 

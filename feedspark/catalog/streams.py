@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.catalog.feeds import feed_documents
+from feedspark.catalog.feeds import LOST_ITEM, feed_documents
 from feedspark.catalog.views import instant, ntz, table
 from feedspark.plans.ingest_run import ingest_run
 from feedspark.schemas import ARTICLES, FETCH_ATTEMPTS
@@ -79,13 +79,13 @@ def _shown(articles: DataFrame) -> DataFrame:
     )
 
 
-INGEST_SQL = """
+INGEST_SQL = f"""
 SELECT sha256('news|' || url) AS id, 'feed' || page_id // 10 AS source_id, url AS canonical_url,
-  'p' || page_id AS source_item_external_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title,
+  'p' || page_id AS source_item_external_id, ltrim(regexp_extract(html, '<title>([^<]*)</title>', 1)) || chr(160) || '!' AS title,
   md5(html) AS content_md5,
   CASE WHEN page_id // 10 % 3 = 1 THEN '2024-01-01T10:00:00Z' ELSE 'Mon, 01 Jan 2024 10:00:00 GMT' END AS published_at,
   'NEW' AS editorial_status, TIMESTAMP '2024-01-10' AS created_at
-FROM pages WHERE page_id // 10 % 7 <> 3
+FROM pages WHERE NOT ({LOST_ITEM})
 """
 
 QUERIES = {

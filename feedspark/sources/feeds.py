@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,19 @@ from feedspark.schemas import ENTRIES, ENTRY_FIELDS
 # Failures worth another attempt; an HTTP status error is not among them.
 TRANSIENT_ERRORS = ("ConnectTimeout", "ReadTimeout", "ConnectError", "RemoteProtocolError")
 
+# Prefixed elements keep their prefix, so that none of them stands in for a plain one.
 _RSS_ITEM = (
-    "struct<title:string, link:string, guid:string, pubDate:string, updated:string, date:string, "
-    "description:string, encoded:string, author:string, creator:string, category:array<string>>"
+    "title string, link string, guid string, pubDate string, updated string, `dc:date` string, description string, "
+    "`content:encoded` string, author string, `dc:creator` string, category array<string>, _corrupt_record string"
 )
 _ATOM_ENTRY = (
-    "struct<title:string, link:array<struct<_href:string,_rel:string>>, id:string, published:string, "
-    "updated:string, summary:string, content:array<string>, author:struct<name:string>, "
-    "category:array<struct<_term:string>>>"
-)
-_FEED = (
-    f"struct<channel:struct<title:string, item:array<{_RSS_ITEM}>>, "
-    f"item:array<{_RSS_ITEM}>, entry:array<{_ATOM_ENTRY}>>"
+    "title string, link array<struct<_href:string,_rel:string>>, id string, published string, updated string, "
+    "summary string, content array<string>, author struct<name:string>, category array<struct<_term:string>>, "
+    "_corrupt_record string"
 )
+_XML = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+# Entities that XML itself knows.
+_XML_ENTITIES = ("amp", "lt", "gt", "quot", "apos")
 _ENTRY_STRUCT = f"struct<{', '.join(part.replace(' ', ':', 1) for part in ENTRY_FIELDS.split(', '))}>"
 
 
@@ -66,20 +68,20 @@ def _no(kind: str) -> Column:
 
 
 def _rss_entry(item: Column) -> Column:
-    encoded = item["encoded"]
+    encoded = item["content:encoded"]
     return F.struct(
         item["link"].alias("link"),
         item["title"].alias("title"),
         item["guid"].alias("id"),
         item["guid"].alias("guid"),
-        F.coalesce(item["pubDate"], item["date"]).alias("published"),
+        F.coalesce(item["pubDate"], item["dc:date"]).alias("published"),
         _no("array<int>").alias("published_parsed"),
         item["updated"].alias("updated"),
         _no("array<int>").alias("updated_parsed"),
         item["description"].alias("summary"),
         _no("string").alias("description"),
         F.when(encoded.isNotNull(), F.array(F.struct(encoded.alias("value")))).alias("content"),
-        F.coalesce(item["author"], item["creator"]).alias("author"),
+        F.coalesce(item["author"], item["dc:creator"]).alias("author"),
         F.transform(item["category"], lambda c: F.struct(c.alias("term"))).alias("tags"),
     ).cast(_ENTRY_STRUCT)
 
@@ -105,26 +107,87 @@ def _atom_entry(entry: Column) -> Column:
     ).cast(_ENTRY_STRUCT)
 
 
+def _plain_sections(body: Column) -> Column:
+    """CDATA sections as escaped text, so that tags inside them are no tags."""
+
+    def escaped(part: Column) -> Column:
+        end = F.instr(part, "]]>")
+        inner = F.substring(part, F.lit(1), end - 1)
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inner = F.replace(inner, F.lit(sign), F.lit(name))
+        return F.when(end > 0, F.concat(inner, F.substring(part, end + 3, F.length(part)))).otherwise(
+            F.concat(F.lit("<![CDATA["), part)
+        )
+
+    parts = F.split(body, r"<!\[CDATA\[")
+    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(escaped(p))), "")
+    return F.when(F.contains(body, F.lit("<![CDATA[")), joined).otherwise(body)
+
+
+def _known_entities(body: Column) -> Column:
+    """Named HTML entities as numbered ones; an ampersand that starts no reference is escaped."""
+    names = {n: c for n, c in name2codepoint.items() if n not in _XML_ENTITIES}
+    codes = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+
+    def named(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]+|#x[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = F.try_element_at(codes, name)
+        return (
+            F.when(name.startswith("#") | name.isin(*_XML_ENTITIES), F.concat(F.lit("&"), part))
+            .when(code.isNotNull(), F.concat(F.lit("&#"), code.cast("string"), F.substring(part, F.length(name) + 1, F.length(part))))
+            .otherwise(F.concat(F.lit("&amp;"), part))
+        )
+
+    odd = body.rlike(rf"&(?!(?:{'|'.join(_XML_ENTITIES)}|#[0-9]+|#x[0-9A-Fa-f]+);)")
+    mended = F.array_join(F.transform(F.split(body, "&"), lambda p, i: F.when(i == 0, p).otherwise(named(p))), "")
+    return F.when(odd, mended).otherwise(body)
+
+
 def parse_feeds(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of landed ``responses(source_id, run_id, body, ...)`` and one warning row per unreadable document.
+    """Entries of landed ``responses(source_id, run_id, body, ...)``, and a warning row per document that is damaged.
 
-    RSS 2.0, RSS 1.0 and Atom are read by one typed XML schema; each document is parsed once, in
-    the task that scans it.
+    RSS 2.0, RSS 1.0 and Atom.  A document is cut into its items and each item is read by a typed XML schema, in the
+    task that scans it, so a broken item or tail costs no other item.  ``pos`` is the place among the
+    document's whole items.  A warning carries how many items that begin in the document gave no entry.
     """
-    feed = responses.select(
-        "source_id", "run_id", F.from_xml("body", _FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("feed")
+    plain = responses.select("source_id", "run_id", _plain_sections(F.col("body")).alias("_b"))
+    clean = plain.select(
+        "source_id", "run_id", _known_entities(F.regexp_replace("_b", r"(?s)<!--.*?-->", "")).alias("_b")
+    )
+    # An item may not hold the start of another one: a broken item ends where the next begins.
+    begun = F.filter(
+        F.split("_b", r"(?=<(?:item|entry)[\s>])"), lambda p: p.rlike(r"^<(?:item|entry)[\s>]")
+    )
+    whole = F.filter(
+        F.transform(begun, lambda p: F.regexp_extract(p, r"(?s)^<(item|entry)[\s>].*?</\1\s*>", 0)), lambda p: p != ""
+    )
+    closed = F.col("_b").rlike(r"</(?:rss|feed|rdf:RDF)\s*>\s*$")
+    cut = clean.select(
+        "source_id", "run_id", F.size(begun).alias("begun"), closed.alias("closed"), whole.alias("whole")
     )
-    rss = F.coalesce(F.col("feed.channel.item"), F.col("feed.item"))
-    entries = F.coalesce(
-        F.transform(rss, _rss_entry), F.transform(F.col("feed.entry"), _atom_entry)
+    pieces = cut.select("source_id", "run_id", F.posexplode("whole").alias("pos", "xml"))
+    is_item = F.col("xml").startswith("<item")
+    read = pieces.select(
+        "source_id", "run_id", F.col("pos").cast("bigint").alias("pos"),
+        F.from_xml(F.when(is_item, F.col("xml")), _RSS_ITEM, _XML).alias("rss"),
+        F.from_xml(F.when(~is_item, F.col("xml")), _ATOM_ENTRY, _XML).alias("atom"),
     )
-    scanned = feed.select("source_id", "run_id", entries.alias("found"), F.col("feed.channel").isNotNull().alias("has_channel"))
-    rows = scanned.select("source_id", "run_id", F.posexplode("found").alias("pos", "e")).select(
-        "source_id", "run_id", F.col("pos").cast("bigint").alias("pos"), "e.*"
+    sound = F.coalesce(F.col("rss._corrupt_record"), F.col("atom._corrupt_record")).isNull()
+    entry = F.when(F.col("rss").isNotNull(), _rss_entry(F.col("rss"))).otherwise(_atom_entry(F.col("atom")))
+    rows = read.filter(sound).select("source_id", "run_id", "pos", entry.alias("e")).select(
+        "source_id", "run_id", "pos", "e.*"
     )
-    warnings = scanned.filter(F.col("found").isNull() & ~F.col("has_channel")).select(
-        "source_id", "run_id", F.lit("feed_parse_warning").alias("event")
+    unreadable = F.filter(
+        F.col("whole"),
+        lambda p: F.coalesce(
+            F.from_xml(F.when(p.startswith("<item"), p), _RSS_ITEM, _XML)["_corrupt_record"],
+            F.from_xml(F.when(~p.startswith("<item"), p), _ATOM_ENTRY, _XML)["_corrupt_record"],
+        ).isNotNull(),
     )
+    lost = F.coalesce(F.col("begun") - F.size("whole") + F.size(unreadable), F.lit(0)).cast("bigint")
+    warnings = cut.select("source_id", "run_id", "closed", lost.alias("lost")).filter(
+        ~F.coalesce("closed", F.lit(False)) | (F.col("lost") > 0)
+    ).select("source_id", "run_id", F.lit("feed_parse_warning").alias("event"), "lost")
     return rows, warnings
 
 

@@ -107,6 +107,33 @@ def test_feed_documents(spark):
     assert [r.source_id for r in warnings.collect()] == ["bad"]
 
 
+ITEM = (
+    "<item><title>A&nbsp;B &amp; C</title><media:title>M</media:title><media:description>md</media:description>"
+    "<description>d</description><link>https://e/1</link><atom:link href='x'/><dc:creator>Me</dc:creator>"
+    "<content:encoded><![CDATA[<p>x</item></p>&nbsp;]]></content:encoded></item>"
+)
+PLAIN = "<item><title>Q & A</title><link>https://e/2?a=1&b=2</link></item>"
+
+
+def test_prefixes_entities_and_breaks_cost_no_whole_item(spark):
+    bodies = {
+        "whole": f"<rss><channel><title>t</title>{ITEM}{PLAIN}</channel></rss>",
+        "cut": f"<rss><channel>{ITEM}<item><title>bro",
+        "middle": f"<rss><channel><item><title>z</ti></item>{PLAIN}</channel></rss>",
+        "open": f"<rss><channel><item><title>z</title>{PLAIN}</channel></rss>",
+        "comment": f"<rss><channel><!-- {ITEM} -->{PLAIN}</channel></rss>",
+        "atom": "<feed><entry><title>A</title><link href='u'/></entry><entry><title>b",
+    }
+    found, warnings = parse_feeds(attempts(spark, [{"source_id": k, "body": v} for k, v in bodies.items()]))
+    got = {(r.source_id, r.pos): r for r in found.collect()}
+    assert set(got) == {("whole", 0), ("whole", 1), ("cut", 0), ("middle", 1), ("open", 0), ("comment", 0), ("atom", 0)}
+    one = got["whole", 0]
+    assert (one.title, one.link, one.summary, one.author) == ("A\xa0B & C", "https://e/1", "d", "Me")
+    assert one.content[0].value == "<p>x</item></p>&nbsp;"
+    assert (got["whole", 1].title, got["open", 0].link) == ("Q & A", "https://e/2?a=1&b=2")
+    assert {r.source_id: r.lost for r in warnings.collect()} == {"cut": 1, "middle": 1, "open": 1, "atom": 1}
+
+
 def test_unknown_reader_type():
     with pytest.raises(KeyError):
         ReaderRegistry().get("website")
