@@ -161,58 +161,66 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets reach the threshold."""
+    """The rows of ``pairs`` (a, b and other long columns) whose full sets reach the threshold."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(u) + len(v) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.select("a", "b").join(second, "b").join(first, "a").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = pairs.join(second, "b").join(first, "a").select(*names, "x", "y")
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) that connect the same ``classes`` (id, bands, sketch) as all links do."""
-    members = set_aside(classes.select("id", F.explode("bands").alias("key")))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-    members = set_aside(members.join(shared, "key"))
+    every = classes.select("id", F.explode("bands").alias("key"))
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    placed = set_aside(every.join(shared, "key").withColumn("component", F.col("id")))
+    labels = set_aside(placed.select("id").distinct().withColumn("component", F.col("id")))
     sketches = classes.select("id", "sketch")
-    sets = set_aside(_sets(docs, members.select("id").distinct()))
-    found = members.sparkSession.createDataFrame([], "a long, b long")
-    placed = members.withColumn("component", F.col("id"))
+    sets = set_aside(_sets(docs, labels.select("id")))
 
     for turn in range(STAR_ROUNDS):
         # In each band one row is the head: first the smallest id, then another one by chance in each round.
+        # A band whose rows are in one group already stays so and leaves.
         lot = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        heads = placed.groupBy("key").agg(F.min(F.struct(lot.alias("lot"), "id", "component")).alias("h"))
+        heads = mixed_bands(placed, F.min(F.struct(lot.alias("lot"), "id", "component")).alias("h"))
         asked = (
             placed.join(heads, "key").filter(F.col("component") != F.col("h.component"))
-            .groupBy("id", F.col("h.id").alias("a")).agg(F.count(F.lit(1)).alias("bands"))
+            .groupBy("id", F.col("h.id").alias("a"))
+            .agg(F.count(F.lit(1)).alias("bands"), F.min("component").alias("cb"), F.min("h.component").alias("ca"))
         )
         # The heads that share most bands are the most similar ones; a row has at most BANDS of them.
-        best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("bands")).alias("bands"), "a"))), 1, HEADS)
-        pairs = asked.groupBy("id").agg(best.alias("best")).select(F.col("id").alias("b"), F.explode("best.a").alias("a"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("bands")).alias("bands"), "a", "ca"))), 1, HEADS)
+        pairs = (
+            asked.groupBy("id", "cb").agg(best.alias("best"))
+            .select(F.col("id").alias("b"), "cb", F.explode("best").alias("h")).select("h.a", "b", "h.ca", "cb")
+        )
         near = (
             pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-            .filter(near_enough("sa", "sb")).select("a", "b")
+            .filter(near_enough("sa", "sb")).select("a", "b", "ca", "cb")
         )
         links = set_aside(confirm(near, sets))
-        found = found.union(links)
-        seen = components(found).withColumnRenamed("component", "_seen")
-        placed = set_aside(
-            members.join(seen, "id", "left").select("id", "key", F.coalesce("_seen", "id").alias("component"))
-        )
         if links.isEmpty():
             break
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
-    open_rows = placed.join(mixed.select("key"), "key").join(classes, "id")
+        # Groups found so far are single nodes: only what this round joins is walked.
+        moved = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        labels = set_aside(
+            labels.join(moved.toDF("component", "_to"), "component", "left")
+            .select("id", F.coalesce("_to", "component").alias("component"))
+        )
+        still = placed.join(heads.select("key"), "key", "left_semi").select("id", "key")
+        placed = set_aside(still.join(labels, "id"))
+
+    open_rows = placed.join(mixed_bands(placed).select("key"), "key").join(classes, "id")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     # The sketches decide inside the join, and a pair comes up in the first of its common bands only.
     cross = x.join(
@@ -221,7 +229,14 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         & (F.col("x.component") != F.col("y.component")) & near_enough("x.sketch", "y.sketch")
         & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return found.union(set_aside(confirm(cross, sets)))
+    stars = labels.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return stars.union(set_aside(confirm(cross, sets)))
+
+
+def mixed_bands(placed: DataFrame, *more: Column) -> DataFrame:
+    """Band keys whose rows are in more than one group."""
+    low, high = F.min("component").alias("_lo"), F.max("component").alias("_hi")
+    return placed.groupBy("key").agg(low, high, *more).filter("_lo < _hi").drop("_lo", "_hi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -230,7 +245,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     good = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     first = good.groupBy("digest").agg(F.min("doc_id").alias("id"))
     named = set_aside(good.select("doc_id", "digest").join(first, "digest").select("doc_id", "id").distinct())
-    classes = good.join(first, "digest").filter(F.col("doc_id") == F.col("id")).select("id", "bands", "sketch").dropDuplicates(["id"])
+    classes = set_aside(
+        good.join(first, "digest").filter(F.col("doc_id") == F.col("id")).select("id", "bands", "sketch").dropDuplicates(["id"])
+    )
     links = link_classes(docs, classes)
     # Rows that share a doc_id but not a text tie their classes together.
     same = named.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
