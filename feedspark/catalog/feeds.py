@@ -24,9 +24,9 @@ from feedspark.operators.ingest import (
     insert_events,
     insert_new,
     reject_unscored,
+    settle_inserts,
     source_cuts,
     source_summary,
-    split_clashes,
     summary_rollup,
     upsert_sources,
 )
@@ -344,19 +344,38 @@ def _with_clashes(articles: DataFrame) -> DataFrame:
     )
 
 
-CLASHES_CTE = f"""{INCOMING_CTE}, clashing AS (
+# Items one after another in ingest order: what is stored so far, which sources have stopped, and the verdict on each.
+ONE_BY_ONE_CTE = """items AS (
+  SELECT id, source_id, ext, pos, bad, source_id || ' ' || ext AS pair,
+    row_number() OVER (ORDER BY domain_rank, source_rank, pos) AS i FROM landing),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS i, (SELECT coalesce(list(id), []) FROM store) AS ids,
+    (SELECT coalesce(list(source_id || ' ' || ext) FILTER (ext IS NOT NULL), []) FROM store) AS pairs,
+    CAST([] AS VARCHAR[]) AS stopped, '' AS outcome
+  UNION ALL
+  SELECT i, CASE WHEN verdict = 'inserted' THEN list_append(ids, id) ELSE ids END,
+    CASE WHEN verdict = 'inserted' AND pair IS NOT NULL THEN list_append(pairs, pair) ELSE pairs END,
+    CASE WHEN strict AND verdict IN ('missing_link', 'external_id_conflict') THEN list_append(stopped, source_id) ELSE stopped END,
+    verdict
+  FROM (
+    SELECT t.*, s.ids, s.pairs, s.stopped, mode.strict, CASE
+      WHEN list_contains(s.stopped, t.source_id) THEN 'skipped'
+      WHEN t.bad THEN 'missing_link'
+      WHEN list_contains(s.ids, t.id) THEN 'duplicate'
+      WHEN t.pair IS NOT NULL AND list_contains(s.pairs, t.pair) THEN 'external_id_conflict'
+      ELSE 'inserted' END AS verdict
+    FROM steps s JOIN items t ON t.i = s.i + 1, mode))"""
+
+CLASHING_CTE = f"""{INCOMING_CTE}, clashing AS (
   SELECT * EXCLUDE (source_item_external_id), CASE WHEN pos % 6 = 0 THEN 'e' || pos // 6 % 40
-    WHEN pos % 6 <> 1 THEN source_item_external_id END AS ext FROM incoming),
-store AS (SELECT * FROM clashing WHERE pos % 10 = 0),
-fresh AS (SELECT * FROM clashing c WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.id = c.id)),
-winners AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY domain_rank, source_rank, pos) AS rn
-  FROM fresh) WHERE rn = 1)"""
+    WHEN pos % 6 <> 1 THEN source_item_external_id END AS ext FROM incoming)"""
 
 
 def external_id_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of a text share their url across sources, and any of them may clash."""
     articles = _with_clashes(incoming(spark, d))
     store = articles.filter(F.col("pos") % 10 == 0)
-    kept, lost = split_clashes(insert_new(articles, store), store)
+    kept, lost = settle_inserts(articles, store)
     columns = ["id", "source_id", "source_item_external_id", "pos"]
     return kept.select(*columns, F.lit("inserted").alias("outcome")).unionByName(
         lost.select(*columns, F.col("defect").alias("outcome"))
@@ -364,18 +383,17 @@ def external_id_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 EXTERNAL_ID_SQL = f"""
-WITH {CLASHES_CTE}
-SELECT w.id, w.source_id, w.ext AS source_item_external_id, w.pos,
-  CASE WHEN w.ext IS NOT NULL AND (EXISTS (SELECT 1 FROM store s WHERE s.source_id = w.source_id AND s.ext = w.ext)
-    OR EXISTS (SELECT 1 FROM winners o WHERE o.source_id = w.source_id AND o.ext = w.ext AND o.pos < w.pos))
-    THEN 'external_id_conflict' ELSE 'inserted' END AS outcome
-FROM winners w
+WITH RECURSIVE {CLASHING_CTE}, mode AS (SELECT false AS strict),
+store AS (SELECT * FROM clashing WHERE pos % 10 = 0),
+landing AS (SELECT *, false AS bad FROM clashing), {ONE_BY_ONE_CTE}
+SELECT t.id, t.source_id, t.ext AS source_item_external_id, t.pos, s.outcome
+FROM steps s JOIN items t ON t.i = s.i WHERE s.outcome IN ('inserted', 'external_id_conflict')
 """
 
 
 def strict_source_cuts(spark: SparkSession, d: str) -> DataFrame:
-    """Where each source stops; every document has its own url here, so sources do not interact."""
-    articles = _with_clashes(incoming(spark, d)).withColumn("id", F.concat(F.lit("a"), "pos"))
+    """Where each source stops; copies of a text share their url, so where one stops changes what another inserts."""
+    articles = _with_clashes(incoming(spark, d))
     bad = articles.filter(F.col("pos") % 211 == 7).withColumn("defect", F.lit("missing_link"))
     good = articles.filter(F.col("pos") % 211 != 7)
     store = articles.filter(F.col("pos") % 401 == 6)
@@ -383,18 +401,11 @@ def strict_source_cuts(spark: SparkSession, d: str) -> DataFrame:
 
 
 STRICT_CUTS_SQL = f"""
-WITH {INCOMING_CTE}, items AS (
-  SELECT source_id, pos, CASE WHEN pos % 6 = 0 THEN 'e' || pos // 6 % 40
-    WHEN pos % 6 <> 1 THEN source_item_external_id END AS ext FROM incoming),
-store AS (SELECT * FROM items WHERE pos % 401 = 6),
-good AS (SELECT * FROM items WHERE pos % 211 <> 7 AND pos % 401 <> 6),
-stops AS (
-  SELECT source_id, pos FROM items WHERE pos % 211 = 7
-  UNION ALL
-  SELECT source_id, pos FROM good g WHERE ext IS NOT NULL AND (
-    EXISTS (SELECT 1 FROM store s WHERE s.source_id = g.source_id AND s.ext = g.ext)
-    OR EXISTS (SELECT 1 FROM good o WHERE o.source_id = g.source_id AND o.ext = g.ext AND o.pos < g.pos)))
-SELECT source_id, min(pos) AS stopped_at FROM stops GROUP BY source_id
+WITH RECURSIVE {CLASHING_CTE}, mode AS (SELECT true AS strict),
+store AS (SELECT * FROM clashing WHERE pos % 401 = 6),
+landing AS (SELECT *, pos % 211 = 7 AS bad FROM clashing), {ONE_BY_ONE_CTE}
+SELECT t.source_id, t.pos AS stopped_at
+FROM steps s JOIN items t ON t.i = s.i WHERE s.outcome IN ('missing_link', 'external_id_conflict')
 """
 
 

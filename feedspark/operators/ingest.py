@@ -32,13 +32,25 @@ def known_ids(store: DataFrame, incoming: DataFrame) -> DataFrame:
     return present_in(store.select("id"), incoming.select("id"), ["id"])
 
 
-def insert_new(articles: DataFrame, store: DataFrame, order: list[str] = INGEST_ORDER) -> DataFrame:
+def key_place() -> Column:
+    """Place in ingest order with the id behind it: different for any two rows, nulls included."""
+    return order_struct(*[F.col(c) for c in INGEST_ORDER], F.col("id"))
+
+
+def at_places(articles: DataFrame, places: DataFrame) -> DataFrame:
+    """The articles at the given ``_place``; the only step that moves content."""
+    return articles.withColumn("_place", key_place()).join(places.select("_place"), "_place", "left_semi").drop("_place")
+
+
+def insert_new(articles: DataFrame, store: DataFrame) -> DataFrame:
     """First article per (domain, url) in ingest order that the store does not hold yet.
 
-    The article id is a hash of exactly that pair, so it stands in for the key.
+    The article id is a hash of exactly that pair, so it stands in for the key.  Known ids leave first
+    and only ids and places are aggregated.
     """
-    firsts = first_per_key(articles, ["id"], order)
-    return firsts.join(known_ids(store, articles), "id", "left_anti")
+    keys = articles.select("id", key_place().alias("_place"))
+    fresh = keys.join(known_ids(store, keys), "id", "left_anti")
+    return at_places(articles, fresh.groupBy("id").agg(F.min("_place").alias("_place")))
 
 
 def as_stored(new: DataFrame, now: Column) -> DataFrame:
@@ -112,18 +124,41 @@ def held_pairs(named: DataFrame, store: DataFrame) -> DataFrame:
     return present_in(store.select(*PAIR), named.select(*PAIR), PAIR).distinct()
 
 
-def split_clashes(winners: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New articles to insert, and those whose (source, external id) belongs to another article.
+def settle_inserts(articles: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New articles to insert, and the items whose (source, external id) another article holds.
 
-    Clashes are found on narrow keys.  The articles themselves are already placed by id, so taking
-    the clashing ids out does not move their content again.
+    An item that clashes leaves nothing behind, so a later copy of its url may still be inserted and a
+    later item may take the pair that a duplicate did not.  The result is that of inserting one by one in
+    ingest order: an item goes in once it comes first among the open items of its id and of its pair, what
+    it rules out leaves, and this repeats until nothing is open.  Rounds work on one row per id and pair, and
+    there are more than two only where clashes depend on each other.
     """
-    keys = winners.select("id", *PAIR, *INGEST_ORDER)
-    named = keys.filter(F.col("source_item_external_id").isNotNull())
-    free = named.join(held_pairs(named, store), PAIR, "left_anti")
-    kept = first_per_key(free, PAIR, ["run_id", "sort_key", "pos"])
-    lost = named.join(kept.select("id"), "id", "left_anti").withColumn("defect", F.lit("external_id_conflict"))
-    return winners.join(lost.select("id"), "id", "left_anti"), lost
+    rows = articles.select("id", *PAIR, *FETCH[1:], "pos", key_place().alias("_place"))
+    fresh = set_aside(rows.join(known_ids(store, rows), "id", "left_anti"))
+    named = fresh.filter(F.col("source_item_external_id").isNotNull())
+    waiting = set_aside(
+        fresh.join(held_pairs(named, store), PAIR, "left_anti").groupBy("id", *PAIR).agg(F.min("_place").alias("_place"))
+    )
+    taken = waiting.limit(0)
+    while not waiting.isEmpty():
+        of_id = waiting.groupBy("id").agg(F.min("_place").alias("_place"))
+        of_pair = waiting.filter(F.col("source_item_external_id").isNotNull()).groupBy(*PAIR).agg(F.min("_place").alias("_place"))
+        unnamed = F.col("source_item_external_id").isNull()
+        leading = waiting.join(of_id.select("_place"), "_place", "left_semi")
+        now_in = set_aside(
+            leading.filter(unnamed).unionByName(leading.filter(~unnamed).join(of_pair.select("_place"), "_place", "left_semi"))
+        )
+        taken = taken.unionByName(now_in)
+        waiting = set_aside(
+            waiting.join(now_in.select("id"), "id", "left_anti").join(now_in.select(*PAIR), PAIR, "left_anti")
+        )
+    placed = taken.select("id", F.col("_place").alias("_in"))
+    # An item before the one inserted under its id, or of an id never inserted, can only have clashed.
+    lost = (
+        fresh.join(placed, "id", "left").filter(F.col("_in").isNull() | (F.col("_place") < F.col("_in")))
+        .drop("_in", "_place").withColumn("defect", F.lit("external_id_conflict"))
+    )
+    return at_places(articles, taken), lost
 
 
 def clash_cut(insertable: DataFrame, store: DataFrame) -> DataFrame:
@@ -191,7 +226,7 @@ def ingest(
         stopping = items.withColumn("cut", item_place()).join(cuts, [*FETCH, "cut"], "left_semi")
         quarantine = stopping.select(*keep)
     else:
-        chosen, lost = split_clashes(insert_new(articles, store), store)
+        chosen, lost = settle_inserts(articles, store)
         quarantine = bad.select(*keep).unionByName(lost.select(*keep))
     numbers = ordered_rank(
         chosen.select("id", *INGEST_ORDER), [F.col(c) for c in INGEST_ORDER], name="ingest_seq"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from feedspark.functions.identity import article_id
 from feedspark.operators.entries import normalize_entries, select_entries
 from feedspark.operators.health import fold_source_health, record_fetches
-from feedspark.operators.ingest import ingest, insert_new, source_cuts, upsert_sources
+from feedspark.operators.ingest import ingest, insert_new, settle_inserts, source_cuts, upsert_sources
 from feedspark.operators.selection import active_sources, select_domains
 from feedspark.plans.ingest_run import ingest_run, refreshed_sources
 from feedspark.schemas import ARTICLES, FETCH_LOG, SOURCES
@@ -178,6 +178,38 @@ def test_first_wins_and_second_ingest_adds_nothing(spark, now):
     assert insert_new(batch, stored).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_default_inserts_equal_the_sequential_rule(spark, seed):
+    rng = random.Random(seed)
+    items = [(rank, pos, f"u{rng.randint(0, 12)}", rng.choice([None, f"e{rng.randint(0, 5)}"])) for rank in range(4)
+             for pos in range(9)]
+    store = [("s1", "u0", "e1"), ("s2", "u3", "e2")]
+    held = spark.createDataFrame(
+        [(f"d|{u}", s, e) for s, u, e in store], "id string, source_id string, source_item_external_id string"
+    )
+    urls, pairs = {u for _, u, _ in store}, {(s, e) for s, _, e in store}
+    inserted, clashed = set(), set()
+    for rank, pos, url, ext in sorted(items, key=lambda i: i[:2]):
+        if url in urls:
+            continue
+        if ext and (f"s{rank}", ext) in pairs:
+            clashed.add((f"s{rank}", pos))
+            continue
+        urls.add(url)
+        pairs.add((f"s{rank}", ext))
+        inserted.add((f"s{rank}", pos))
+    kept, lost = settle_inserts(incoming(spark, items), held)
+    assert {(r.source_id, r.pos) for r in kept.collect()} == inserted
+    assert sorted((r.source_id, r.pos) for r in lost.collect()) == sorted(clashed)
+
+
+def test_copy_that_does_not_clash_is_inserted(spark):
+    batch = incoming(spark, [(0, 0, "u1", "a"), (0, 1, "u2", "a"), (1, 0, "u2", "b")])
+    kept, lost = settle_inserts(batch, spark.createDataFrame([], ARTICLES))
+    assert {(r.source_id, r.canonical_url) for r in kept.collect()} == {("s0", "u1"), ("s1", "u2")}
+    assert [(r.source_id, r.pos) for r in lost.collect()] == [("s0", 1)]
+
+
 def sequential_cuts(items, bad, store):
     """The stated rule, one item after another."""
     urls = {url for _, url, _ in store}
