@@ -257,11 +257,11 @@ SELECT editorial_status, count(*) AS articles FROM stored GROUP BY editorial_sta
 
 
 def status_cube_query(spark: SparkSession, d: str) -> DataFrame:
-    return status_cube(stored(spark, d).filter("editorial_status is not null"))
+    return status_cube(stored(spark, d))
 
 
 STATUS_CUBE_SQL = f"""{STORED_WITH}
-SELECT domain_id, editorial_status, count(*) AS articles FROM stored WHERE editorial_status IS NOT NULL
+SELECT domain_id, editorial_status, count(*) AS articles, GROUPING(domain_id, editorial_status) AS summed_up FROM stored
 GROUP BY CUBE (domain_id, editorial_status)
 """
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark.catalog.views import table
@@ -127,6 +127,12 @@ FROM t
 """
 
 
+def _odd_members(body: Column, n: Column) -> Column:
+    """In some answers members that are no objects stand before the message."""
+    marked = F.regexp_replace(body, r'"output":\[', '"output":["x",7,null,[1],')
+    return F.when(n % 8 == 3, marked).otherwise(body)
+
+
 def response_parse(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as recorded JSON answers, with gaps in several places."""
     n = F.col("conv_id") * 100 + F.col("turn")
@@ -158,7 +164,7 @@ def response_parse(spark: SparkSession, d: str) -> DataFrame:
         F.when(n % 10 != 3, usage).alias("usage"),
     )
     landed = table(spark, d, "conversations").select(
-        "conv_id", "turn", F.lit("asked").alias("requested_model"), F.to_json(body).alias("body")
+        "conv_id", "turn", F.lit("asked").alias("requested_model"), _odd_members(F.to_json(body), n).alias("body")
     )
     return parse_responses(landed).withColumn("output_text", F.md5("output_text")).drop("requested_model")
 

@@ -46,8 +46,13 @@ def status_counts(articles: DataFrame) -> DataFrame:
 
 
 def status_cube(articles: DataFrame) -> DataFrame:
-    """Counts by domain, by status, by both and overall (null marks a summed-up column)."""
-    return articles.cube("domain_id", "editorial_status").agg(F.count(F.lit(1)).alias("articles"))
+    """Counts by domain, by status, by both and overall.
+
+    ``summed_up`` tells a summed-up column (2: domain, 1: status, 3: both) from a null status.
+    """
+    return articles.cube("domain_id", "editorial_status").agg(
+        F.count(F.lit(1)).alias("articles"), F.grouping_id().alias("summed_up")
+    )
 
 
 def word_count(text: Column) -> Column:

@@ -9,11 +9,15 @@ from feedspark.functions.text import blank_to_null, utrim
 
 _RESPONSE = (
     "model string, status string, incomplete_details struct<reason:string>, "
-    "output array<struct<type:string, role:string, content:array<struct<type:string, text:string>>>>, "
+    "output array<string>, "
     "usage struct<input_tokens:bigint, output_tokens:bigint, total_tokens:bigint, "
     "input_tokens_details:struct<cached_tokens:bigint>, output_tokens_details:struct<reasoning_tokens:bigint>>"
 )
 
+# Members are read one by one, so that one of another shape costs nothing but itself.
+_MEMBER = "type string, role string, content array<string>"
+_PIECE = "type string, text string"
+
 
 def _or_null_if_blank(c: Column) -> Column:
     return F.when(utrim(c) != "", c)
@@ -25,9 +29,10 @@ def parse_responses(responses: DataFrame, body: str = "body", fallback_model: st
     An answer without text is unusable: ``error_message`` says so and ``ok`` is false.
     """
     parsed = responses.withColumn("_r", F.from_json(body, _RESPONSE))
-    answers = F.filter(F.col("_r.output"), lambda o: (o["type"] == "message") & (o["role"] == "assistant"))
-    pieces = F.flatten(F.transform(answers, lambda o: F.coalesce(o["content"], F.array().cast(
-        "array<struct<type:string,text:string>>"))))
+    members = F.transform(F.col("_r.output"), lambda o: F.from_json(o, _MEMBER))
+    answers = F.filter(members, lambda o: (o["type"] == "message") & (o["role"] == "assistant"))
+    contents = F.flatten(F.transform(answers, lambda o: F.coalesce(o["content"], F.array().cast("array<string>"))))
+    pieces = F.transform(contents, lambda p: F.from_json(p, _PIECE))
     texts = F.transform(
         F.filter(pieces, lambda p: (p["type"] == "output_text") & (p["text"] != "")), lambda p: p["text"]
     )
