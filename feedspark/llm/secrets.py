@@ -1,11 +1,15 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 Ordinary words cost few tokens: a vocabulary learnt from text covers four characters or so per token.
-Random strings cost one token for one or two characters.  A run of key-like characters is reported
-as ``random`` if it has at least ``MIN_LENGTH`` characters, mixes digits and letters, and has fewer
-than ``MAX_RATIO`` characters per token, unless it is a known digest (hexadecimal of a usual digest
-length), a UUID or an identifier (parts divided by ``_``, ``-``, ``.`` or ``/`` that are words or
-numbers).  Runs that touch a base span are covered already and add nothing.
+Random strings cost one token for one or two characters.  A run of key-like characters is first cut at the
+base spans in it, and each rest of at least ``MIN_LENGTH`` characters is judged.  It is ``random`` as a whole
+if it has fewer than ``MAX_RATIO`` characters per token.  If not, as names and paths around a key dilute the
+ratio, the same is asked of each part between ``=``, ``/``, ``.`` and ``-``, and of the stretches of pieces
+(letters and digits) with most tokens over their characters, so that a key with dividers in it is found as well.
+
+What is reported mixes letters with digits or both cases.  Known digests (hexadecimal of a usual digest
+length), UUIDs and identifiers (pieces that are all words or numbers) are not reported; the text beside a
+digest or UUID is judged without it.
 
 Defined results.  A null or empty text has no span.  Positions are code points, the end exclusive.
 Rows are independent: repeated rows repeat their result, an empty table gives no row, extra columns
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -38,7 +43,10 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 # Characters of hexadecimal MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
-IDENTIFIER = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)(?:[_./=-]+(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+))*[_./=-]*\Z")
+IDENTIFIER = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+)(?:[_./=+-]+(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[0-9]+))*[_./=+-]*\Z")
+PART = re.compile(r"[^=/.-]+")
+PIECE = re.compile(UUID.pattern.removesuffix(r"\Z") + "(?![A-Za-z0-9])|[A-Za-z0-9]+")
+MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])|(?=.*[a-z])(?=.*[A-Z])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -62,7 +70,10 @@ class TokenEfficiency:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ratio(self, run: str) -> float:
-        return len(run) / max(1, len(self.encoding.encode_ordinary(run)))
+        return len(run) / max(1, self.tokens(run))
+
+    def tokens(self, run: str) -> int:
+        return len(self.encoding.encode_ordinary(run))
 
 
 def is_excluded(run: str) -> bool:
@@ -72,19 +83,84 @@ def is_excluded(run: str) -> bool:
     return bool(UUID.match(run) or IDENTIFIER.match(run))
 
 
+def uncovered(start: int, end: int, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """What is left of a stretch without the base spans, which are sorted by start."""
+    for a, b, _ in base:
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
+def best_stretches(pieces: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """All maximal stretches with a positive sum, of pieces (start, end, score), in one pass (Ruzzo and Tompa)."""
+    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
+    total = 0.0
+    for start, end, score in pieces:
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        new = (start, end, before, total)
+        # Sums before what was passed over are no smaller than a later candidate's, so each is looked at once.
+        while True:
+            k = len(found) - 1
+            while k >= 0 and found[k][2] >= new[2]:
+                k -= 1
+            if k < 0 or found[k][3] >= new[3]:
+                break
+            new = (found[k][0], end, found[k][2], total)
+            del found[k:]
+        found.append(new)
+    return [(a, b) for a, b, _, _ in found]
+
+
+def random_in(run: str, scorer: TokenEfficiency) -> list[tuple[int, int]]:
+    """The random stretches of a run without base spans."""
+
+    def random(a: int, b: int) -> bool:
+        part = run[a:b]
+        return b - a >= MIN_LENGTH and bool(MIXED.match(part)) and not is_excluded(part)
+
+    first, last = len(run) - len(run.lstrip("./=-")), len(run.rstrip("./=-"))
+    if last - first < MIN_LENGTH:
+        return []
+    pieces = [m.span() for m in PIECE.finditer(run)]
+    known = [(a, b) for a, b in pieces if DIGEST.match(run[a:b]) and b - a in DIGEST_LENGTHS or UUID.match(run[a:b])]
+    if not known and random(first, last) and scorer.ratio(run[first:last]) < MAX_RATIO:
+        return [(first, last)]
+    found = []
+    edges = [0, *(x for span in known for x in span), len(run)]
+    for low, high in zip(edges[::2], edges[1::2], strict=True):
+        parts = ((low + m.start(), low + m.end()) for m in PART.finditer(run[low:high]))
+        found += [(a, b) for a, b in parts if random(a, b) and scorer.ratio(run[a:b]) < MAX_RATIO]
+        scored = [(a, b, MAX_RATIO * scorer.tokens(run[a:b]) - (b - a)) for a, b in pieces if low <= a and b <= high]
+        found += [(a, b) for a, b in best_stretches(scored) if random(a, b)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_spans(text: str, base: list[tuple[int, int, str]], scorer: TokenEfficiency) -> list[tuple[int, int, str]]:
-    out = []
+    out, k, merged = [], 0, []
+    for a, b, kind in base:
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]), kind)
+        else:
+            merged.append((a, b, kind))
     for m in RUN.finditer(text):
-        start, run = m.start(), m[0].rstrip("./=-")
-        run_start = len(run) - len(run.lstrip("./=-"))
-        start, run = start + run_start, run[run_start:]
-        if len(run) < MIN_LENGTH or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
-            continue
-        end = start + len(run)
-        if any(a < end and start < b for a, b, _ in base) or is_excluded(run):
-            continue
-        if scorer.ratio(run) < MAX_RATIO:
-            out.append((start, end, "random"))
+        while k < len(merged) and merged[k][1] <= m.start():
+            k += 1
+        inside = itertools.takewhile(lambda s: s[0] < m.end(), itertools.islice(merged, k, None))
+        for start, end in uncovered(*m.span(), list(inside)):
+            out += [(start + a, start + b, "random") for a, b in random_in(text[start:end], scorer)]
     return out
 
 
