@@ -3,7 +3,7 @@
 1. Each 100-byte window is assigned to its anchor, the 32-byte string in it with the smallest hash.  Equal
    windows have equal anchors at equal places.  A run of windows with one anchor is a cell; a cell is known
    by its anchor's hash and a hash of all its bytes.  Anchors that occur once are dropped: their windows
-   are unique.  Of equal cells all but the first are removed; they never need their text again.
+   are unique.  Of equal cells all at a later place than the first are removed; they never need their text again.
 2. What is left are different cells with a common anchor, mostly the edges of shared passages.  Their
    bytes are collected per anchor in buckets of bounded size.  A bucket is cut into shards; each shard
    gets a Burrows-Wheeler transform of its own, and the transforms are merged by refining their
@@ -15,8 +15,10 @@
    compared one by one through a mergeable minimum over two 64-bit hashes.
 
 Defined results.  A null or empty text has 0 bytes and keeps none.  Texts under 100 bytes keep all.  A row without
-doc_id is judged by no other row and keeps all.  Rows that share a doc_id are at the same place, so they do not
-remove each other's bytes at equal starts.  An empty table gives no row.  Extra columns are
+doc_id is judged by no other row and keeps all.  Rows that share a doc_id are at the same place: what starts at
+the same byte of two of them is not earlier in either, so a repeated row repeats its result, and only windows
+with a smaller (doc_id, start) elsewhere remove.  Different texts under one doc_id are each cut by their own
+bytes.  An empty table gives no row.  Extra columns are
 ignored.  Long texts are read in overlapping chunks.
 """
 
@@ -42,7 +44,7 @@ HOT_CELLS = 2048
 BUCKET_BYTES = 1 << 18
 SHARD_BYTES = 1 << 15
 
-CELLS = "kind int, route long, cell long, doc_id long, lo long, n int"
+CELLS = "kind int, route long, cell long, doc_id long, key long, lo long, n int"
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -77,50 +79,64 @@ def cells_of(data: np.ndarray, hasher: RollingHash) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def _cell_batch(kind, route, cell, doc, lo, n) -> pa.RecordBatch:
+def _cell_batch(kind, route, cell, doc, key, lo, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(route), kind, np.int32)), pa.array(route), pa.array(cell), pa.array(doc, pa.int64()),
-            pa.array(lo, pa.int64()), pa.array(n.astype(np.int32)),
+            pa.array(key, pa.int64()), pa.array(lo, pa.int64()), pa.array(n.astype(np.int32)),
         ],
-        names=["kind", "route", "cell", "doc_id", "lo", "n"],
+        names=["kind", "route", "cell", "doc_id", "key", "lo", "n"],
     )
 
 
+def _later(new: np.ndarray, doc: np.ndarray, lo: np.ndarray, before: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, tuple[int, int]]:
+    """Which rows of sorted groups lie after the first place of their group, and the last group's first place.
+
+    ``before`` is the first place of the group that the rows begin in, if its start came earlier.
+    """
+    at = np.cumsum(new)
+    begins = np.flatnonzero(new)
+    first_doc, first_lo = np.append(before[0], doc[begins])[at], np.append(before[1], lo[begins])[at]
+    return (doc != first_doc) | (lo != first_lo), (first_doc[-1], first_lo[-1])
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of each text (kind 0).  Of equal cells in a batch only the first is one; the others are removals (1)."""
+    """Cells of each text (kind 0).  Of equal cells in a batch only the first place is one; later ones are removals (1)."""
     hasher = RollingHash()
     for batch in batches:
-        found, docs = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        found, docs, keys = [], [], []
+        for doc_id, text, key in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             buffer = text.as_buffer()
             if buffer is not None and buffer.size >= LENGTH:
                 found.append(cells_of(np.frombuffer(buffer, np.uint8), hasher))
                 docs.append(np.full(len(found[-1][0]), doc_id, np.int64))
+                keys.append(np.full(len(found[-1][0]), key, np.int64))
         if not found:
             continue
         anchor, cell, lo, n = (np.concatenate(p) for p in zip(*found, strict=True))
-        doc = np.concatenate(docs)
+        doc, key = np.concatenate(docs), np.concatenate(keys)
         order = np.lexsort((lo, doc, cell, anchor))
-        anchor, cell, lo, n, doc = (x[order] for x in (anchor.view(np.int64), cell.view(np.int64), lo, n, doc))
-        first = np.ones(len(doc), bool)
-        first[1:] = (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])
-        yield _cell_batch(0, anchor[first], cell[first], doc[first], lo[first], n[first])
-        again = ~first
+        anchor, cell, lo, n, doc, key = (x[order] for x in (anchor.view(np.int64), cell.view(np.int64), lo, n, doc, key))
+        new = np.ones(len(doc), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1])
+        again, _ = _later(new, doc, lo)
+        first = ~again
+        yield _cell_batch(0, *(x[first] for x in (anchor, cell, doc, key, lo, n)))
         if again.any():
-            yield _cell_batch(1, mix64(doc[again].astype(np.uint64)).view(np.int64), cell[again], doc[again], lo[again], n[again])
+            yield _cell_batch(1, mix64(doc[again].astype(np.uint64)).view(np.int64), *(x[again] for x in (cell, doc, key, lo, n)))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From cells sorted by anchor, cell and place: removals (1), and cells that share an anchor with others (0)."""
     held: tuple | None = None  # the first cell of an anchor, until another cell of it is seen
     last_anchor = last_cell = None
+    first = (0, 0)  # the first place of the last cell
     for batch in batches:
-        kind, anchor, cell, doc, lo, n = (batch.column(k).to_numpy() for k in range(6))
+        kind, anchor, cell, doc, key, lo, n = (batch.column(k).to_numpy() for k in range(7))
         done = kind == 1
         if done.any():
-            yield _cell_batch(1, anchor[done], cell[done], doc[done], lo[done], n[done])
-            anchor, cell, doc, lo, n = (x[~done] for x in (anchor, cell, doc, lo, n))
+            yield _cell_batch(1, *(x[done] for x in (anchor, cell, doc, key, lo, n)))
+            anchor, cell, doc, key, lo, n = (x[~done] for x in (anchor, cell, doc, key, lo, n))
         if not len(anchor):
             continue
         new_anchor = np.ones(len(anchor), bool)
@@ -130,10 +146,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_cell[1:] |= cell[1:] != cell[:-1]
         new_cell[0] |= cell[0] != last_cell
         last_anchor, last_cell = anchor[-1], cell[-1]
-        again = ~new_cell
+        again, first = _later(new_cell, doc, lo, first)
         if again.any():
-            yield _cell_batch(1, anchor[again], cell[again], doc[again], lo[again], n[again])
-        f = np.flatnonzero(new_cell)
+            yield _cell_batch(1, *(x[again] for x in (anchor, cell, doc, key, lo, n)))
+        f = np.flatnonzero(~again)  # other texts at the first place stay beside the first one
         if not len(f):
             continue
         follows = ~new_anchor[f]
@@ -143,9 +159,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _cell_batch(0, *(np.asarray([x]) for x in held))
         g = f[shared]
         if len(g):
-            yield _cell_batch(0, anchor[g], cell[g], doc[g], lo[g], n[g])
+            yield _cell_batch(0, *(x[g] for x in (anchor, cell, doc, key, lo, n)))
         k = f[-1]
-        held = None if shared[-1] else (anchor[k], cell[k], doc[k], lo[k], n[k])
+        held = None if shared[-1] else (anchor[k], cell[k], doc[k], key[k], lo[k], n[k])
 
 
 def suffix_order(codes: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
@@ -217,9 +233,10 @@ def _bucket_removals(strings: list[bytes], docs: np.ndarray, los: np.ndarray) ->
     string, offset, group = string[whole], offset[whole], group[whole]
     order = np.lexsort((los[string] + offset, docs[string], group))
     string, offset, group = string[order], offset[order], group[order]
-    first = np.ones(len(group), bool)
-    first[1:] = group[1:] != group[:-1]
-    return string[~first], offset[~first]
+    new = np.ones(len(group), bool)
+    new[1:] = group[1:] != group[:-1]
+    again = _later(new, docs[string], los[string] + offset)[0] if len(group) else new
+    return string[again], offset[again]
 
 
 def _runs(string: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,25 +250,28 @@ def _runs(string: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells with their bytes, sorted by anchor -> removals (doc_id, lo, n)."""
+    """Cells with their bytes, sorted by anchor -> removals (doc_id, key, lo, n)."""
 
-    def flush(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        docs, los = np.asarray([r[1] for r in rows]), np.asarray([r[2] for r in rows])
-        string, first, n = _runs(*_bucket_removals([r[3] for r in rows], docs, los))
+    def flush(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+        docs, keys, los = (np.asarray([r[k] for r in rows]) for k in (1, 2, 3))
+        string, first, n = _runs(*_bucket_removals([r[4] for r in rows], docs, los))
         return pa.RecordBatch.from_arrays(
-            [pa.array(docs[string], pa.int64()), pa.array(los[string] + first, pa.int64()), pa.array(n.astype(np.int32))],
-            names=["doc_id", "lo", "n"],
+            [
+                pa.array(docs[string], pa.int64()), pa.array(keys[string], pa.int64()),
+                pa.array(los[string] + first, pa.int64()), pa.array(n.astype(np.int32)),
+            ],
+            names=["doc_id", "key", "lo", "n"],
         )
 
-    rows: list[tuple[int, int, int, bytes]] = []
+    rows: list[tuple[int, int, int, int, bytes]] = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if size >= BUCKET_BYTES and row[0] != rows[-1][0]:
                 yield flush(rows)
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if rows:
         yield flush(rows)
 
@@ -260,7 +280,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the cells as doc_id, start and two hashes."""
     hasher = RollingHash()
     for batch in batches:
-        for _, doc, lo, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for _, doc, key, lo, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             bytes_ = np.frombuffer(data, np.uint8)
             at = np.arange(len(bytes_) - LENGTH + 1)
             with np.errstate(over="ignore"):
@@ -268,10 +288,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             plain = hasher.ranges(hasher.prefix(bytes_), at, at + LENGTH)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(at), doc, np.int64)), pa.array(at + lo), pa.array(plain.view(np.int64)),
-                    pa.array(flipped.view(np.int64)),
+                    pa.array(np.full(len(at), doc, np.int64)), pa.array(np.full(len(at), key, np.int64)), pa.array(at + lo),
+                    pa.array(plain.view(np.int64)), pa.array(flipped.view(np.int64)),
                 ],
-                names=["doc_id", "lo", "h1", "h2"],
+                names=["doc_id", "key", "lo", "h1", "h2"],
             )
 
 
@@ -317,6 +337,14 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "utf-8").alias("data")
     )
     fresh = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("data") >= LENGTH))
+    # A row is told from others by its doc_id alone, and if texts share one, by a hash of its text too (``key``).
+    digest = F.xxhash64("data")
+    ids = fresh.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), (F.min(digest) != F.max(digest)).alias("_other")).filter("_n > 1")
+    some = ids.agg(F.count(F.lit(1)).alias("repeated"), F.coalesce(F.bool_or("_other"), F.lit(False)).alias("other")).first()
+    key = (digest if some.other else F.lit(0).cast("long")).alias("key")
+    rows, fresh = rows.select("doc_id", "data", key), fresh.select("doc_id", "data", key)
+    if some.repeated:
+        fresh = fresh.dropDuplicates(["doc_id", "key"])
     cells = fresh.mapInArrow(_extract, CELLS)
     compared = set_aside(
         cells.repartition(width, "kind", "route").sortWithinPartitions("kind", "route", "cell", "doc_id", "lo")
@@ -324,32 +352,32 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     )
     shared = compared.filter("kind = 0")
     crowded = shared.groupBy("route").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_CELLS).select("route", F.lit(True).alias("hot"))
-    flagged = shared.join(crowded, "route", "left").select("doc_id", F.struct("route", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
-    asked = flagged.groupBy("doc_id").agg(F.collect_list("c").alias("cells"))  # within one document
-    texts = fresh.join(asked.hint("merge"), "doc_id").withColumn("c", F.explode("cells"))
+    flagged = shared.join(crowded, "route", "left").select("doc_id", "key", F.struct("route", "lo", "n", F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
+    asked = flagged.groupBy("doc_id", "key").agg(F.collect_list("c").alias("cells"))  # within one document
+    texts = fresh.join(asked.hint("merge"), ["doc_id", "key"]).withColumn("c", F.explode("cells"))
     cut = set_aside(
         texts.select(
-            F.col("c.route").alias("route"), "doc_id", F.col("c.lo").alias("lo"), F.col("c.hot").alias("hot"),
+            F.col("c.route").alias("route"), "doc_id", "key", F.col("c.lo").alias("lo"), F.col("c.hot").alias("hot"),
             F.substring("data", F.col("c.lo").cast("int") + 1, F.col("c.n") + (LENGTH - 1)).alias("bytes"),
         )
     )
     merged = (
         cut.filter("not hot").drop("hot").repartition(width, "route").sortWithinPartitions("route", "doc_id", "lo")
-        .mapInArrow(_merge, "doc_id long, lo long, n int")
+        .mapInArrow(_merge, "doc_id long, key long, lo long, n int")
     )
-    removals = compared.filter("kind = 1").select("doc_id", "lo", "n").unionByName(merged)
+    removals = compared.filter("kind = 1").select("doc_id", "key", "lo", "n").unionByName(merged)
     if not crowded.isEmpty():
         windows = set_aside(
-            cut.filter("hot").drop("hot").mapInArrow(_windows, "doc_id long, lo long, h1 long, h2 long")
+            cut.filter("hot").drop("hot").mapInArrow(_windows, "doc_id long, key long, lo long, h1 long, h2 long")
         )
         place = F.struct("doc_id", "lo")
         least = windows.groupBy("h1", "h2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
         again = windows.join(least, ["h1", "h2"]).filter(place > F.col("_first"))
-        removals = removals.unionByName(again.select("doc_id", "lo", F.lit(1).alias("n")))
-    gathered = removals.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))  # within one document
+        removals = removals.unionByName(again.select("doc_id", "key", "lo", F.lit(1).alias("n")))
+    gathered = removals.groupBy("doc_id", "key").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))  # within one document
     # What is removed grows with the input: it is never broadcast to the texts.
     return (
-        rows.join(gathered.hint("merge"), "doc_id", "left").select("doc_id", "data", "ranges")
+        rows.join(gathered.hint("merge"), ["doc_id", "key"], "left").select("doc_id", "data", "ranges")
         .mapInArrow(
             _finish,
             "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>",

@@ -280,6 +280,31 @@ def test_substrings_equal_brute_force(docs, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2048, 1])
+@pytest.mark.parametrize("other", [False, True])
+def test_rows_that_share_a_doc_id_remove_only_what_starts_earlier(spark, monkeypatch, hot, other):
+    monkeypatch.setattr(substrings, "HOT_CELLS", hot)
+    common.prepare(spark)
+    given = [(k, t) for k, t in enumerate(texts()) if k >= 5]
+    given += given[8:40] * 2  # repeated rows, in the same batch and in others
+    if other:  # other texts under an id that is there: with a common beginning, the same place, and an earlier passage
+        given += [(k, t[: len(t) // 2] + " and then " + t[len(t) // 3 :]) for k, t in given[10:50]] + [(2, given[20][1]), (30, given[40][1])]
+    place = {}
+    for k, t in given:
+        data = t.encode()
+        for i in range(len(data) - 99):
+            place[data[i : i + 100]] = min(place.get(data[i : i + 100], (k, i)), (k, i))
+    want = []
+    for k, t in given:
+        data = t.encode()
+        gone = {j for i in range(len(data) - 99) if place[data[i : i + 100]] < (k, i) for j in range(i, i + 100)}
+        left = bytes(b for j, b in enumerate(data) if j not in gone)
+        want.append((k, len(data), len(gone), hashlib.sha256(left).hexdigest()))
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    found = substrings.dedup_substrings(df).select("doc_id", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_crowded_anchors_take_the_other_way(docs, monkeypatch):
     want = sorted(substrings.dedup_substrings(docs).drop("removed").collect())
     monkeypatch.setattr(substrings, "HOT_CELLS", 1)
