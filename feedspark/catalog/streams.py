@@ -12,7 +12,7 @@ from feedspark.catalog.views import instant, ntz, table
 from feedspark.plans.ingest_run import ingest_run
 from feedspark.schemas import ARTICLES, FETCH_ATTEMPTS
 from feedspark.session import use_checkpoint_dir
-from feedspark.sources.tables import stored_articles
+from feedspark.sources.tables import stored_articles, stored_fetch_log, stored_quarantine, stored_warnings
 from feedspark.streaming.workers import start_ingest
 
 NOW = "2024-01-10 00:00:00"
@@ -60,16 +60,38 @@ def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The same documents landed as files and followed by the ingest stream, in several micro-batches."""
+    return _shown(stored_articles(spark, follow(spark, d, landed(spark, d))))
+
+
+def follow(spark: SparkSession, d: str, fetches: DataFrame) -> str:
+    """The folder of the store that the ingest stream made of ``fetches``, in several micro-batches."""
     use_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/feedspark-{uuid.uuid4().hex}"
-    fetches = landed(spark, d)
     fetches.repartition(4, "source_id", "run_id").write.parquet(f"{base}/landing")
     query = start_ingest(
         spark, f"{base}/landing", f"{base}/store", f"{base}/progress", feed_sources(spark, d),
         news_domain(spark), clock=lambda: instant(NOW), files_per_batch=2, once=True,
     )
     query.awaitTermination()
-    return _shown(stored_articles(spark, f"{base}/store"))
+    return f"{base}/store"
+
+
+def stream_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Warnings that the ingest stream stored."""
+    return stored_warnings(spark, follow(spark, d, landed(spark, d))).drop("step", "epoch")
+
+
+def stream_fetch_log(spark: SparkSession, d: str) -> DataFrame:
+    """The fetch log that the ingest stream stored."""
+    log = stored_fetch_log(spark, follow(spark, d, landed(spark, d))).drop("step", "epoch")
+    return log.withColumn("at", ntz("at"))
+
+
+def stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Items that the ingest stream set aside: here those of documents that have lost their links."""
+    body = F.regexp_replace("body", r"(?s)<link[^>]*/>|<link[^>]*>.*?</link>", "")
+    fetches = landed(spark, d).filter("run_id = 'r0'").withColumn("body", body)
+    return stored_quarantine(spark, follow(spark, d, fetches)).drop("step", "epoch", "id")
 
 
 def _shown(articles: DataFrame) -> DataFrame:
@@ -88,7 +110,30 @@ SELECT sha256('news|' || url) AS id, 'feed' || page_id // 10 AS source_id, url A
 FROM pages WHERE NOT ({LOST_ITEM})
 """
 
+_FETCHES = """(SELECT page_id, page_id // 10 AS n, again FROM pages JOIN (VALUES (0), (1)) v(again) ON again = 0 OR page_id // 10 % 3 = 0)"""
+
+STREAM_WARNINGS_SQL = f"""
+SELECT DISTINCT 'feed' || n AS source_id, 'r' || again AS run_id, 'feed_parse_warning' AS event, CAST(1 AS BIGINT) AS lost
+FROM {_FETCHES} WHERE n % 7 = 3
+"""
+
+STREAM_FETCH_LOG_SQL = f"""
+SELECT 'feed' || n AS source_id, TIMESTAMP '2024-01-10' AS at, 'r' || again AS run_id, CAST(0 AS BIGINT) AS seq, true AS ok,
+  200 AS http_status, CAST(NULL AS VARCHAR) AS error_message,
+  CASE WHEN n % 7 <> 3 OR count(*) > 1 THEN 'p' || min(page_id) END AS last_item_external_id,
+  CAST(NULL AS VARCHAR) AS last_item_published_at
+FROM {_FETCHES} GROUP BY n, again
+"""
+
+STREAM_QUARANTINE_SQL = f"""
+SELECT 'feed' || page_id // 10 AS source_id, 'r0' AS run_id, page_id % 10 AS pos, 'missing_link' AS defect
+FROM pages WHERE NOT ({LOST_ITEM})
+"""
+
 QUERIES = {
     "ingest_documents": (ingest_documents, INGEST_SQL),
     "stream_ingest": (stream_ingest, INGEST_SQL),
+    "stream_warnings": (stream_warnings, STREAM_WARNINGS_SQL),
+    "stream_fetch_log": (stream_fetch_log, STREAM_FETCH_LOG_SQL),
+    "stream_quarantine": (stream_quarantine, STREAM_QUARANTINE_SQL),
 }

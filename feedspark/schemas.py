@@ -60,6 +60,8 @@ FETCH_LOG = schema(
     "source_id string, at timestamp, run_id string, seq bigint, ok boolean, http_status int, error_message string, "
     "last_item_external_id string, last_item_published_at string"
 )
+QUARANTINE = schema("source_id string, run_id string, pos bigint, id string, defect string")
+WARNINGS = schema("source_id string, run_id string, event string, lost bigint")
 ARTICLES = schema(
     "id string, domain_id string, source_id string, canonical_url string, source_item_external_id string, "
     "title string, content string, published_at string, lifecycle_state string, raw_json string, "

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedspark.schemas import ARTICLES, STATES, EVENTS
+from feedspark.schemas import ARTICLES, EVENTS, FETCH_LOG, QUARANTINE, STATES, WARNINGS
 
 
 def evolve_articles(stored: DataFrame, now: Column) -> DataFrame:
@@ -72,6 +72,20 @@ def stored_events(spark: SparkSession, root: str) -> DataFrame:
     return read_epochs(spark, root, "events", EVENTS)
 
 
+def stored_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """Items set aside at ingest."""
+    return read_epochs(spark, root, "quarantine", QUARANTINE)
+
+
+def stored_warnings(spark: SparkSession, root: str) -> DataFrame:
+    """Damaged documents with the number of lost items."""
+    return read_epochs(spark, root, "warnings", WARNINGS)
+
+
+def stored_fetch_log(spark: SparkSession, root: str) -> DataFrame:
+    return read_epochs(spark, root, "fetch_log", FETCH_LOG)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     events.select(*EVENTS.names).write.mode("append").parquet(path)
 

@@ -17,7 +17,7 @@ from feedspark.operators.ingest import insert_events
 from feedspark.operators.state import current_states
 from feedspark.plans.ingest_run import ingest_run
 from feedspark.plans.publish_run import publish_once
-from feedspark.schemas import ARTICLES, EVENTS, FETCH_ATTEMPTS, STATES
+from feedspark.schemas import ARTICLES, EVENTS, FETCH_ATTEMPTS, FETCH_LOG, QUARANTINE, STATES, WARNINGS
 from feedspark.sources.connectors import Deliverer
 from feedspark.sources.tables import (
     stored_articles,
@@ -32,7 +32,10 @@ Clock = Callable[[], Column]
 def ingest_batch(
     attempts: DataFrame, epoch: int, root: str, source_config: DataFrame, domains: DataFrame, now: Column
 ) -> None:
-    """Insert what a micro-batch of landed fetches adds to the store under ``root``."""
+    """Insert what a micro-batch of landed fetches adds to the store under ``root``.
+
+    What it sets aside, its warnings and its fetch log are stored beside it.
+    """
     spark = attempts.sparkSession
     known = without_epoch(stored_articles(spark, root), "ingest", epoch)
 
@@ -45,6 +48,9 @@ def ingest_batch(
     written = spark.read.schema(ARTICLES).parquet(target)
     write_epoch(written.select(*STATES.names), root, "states", "ingest", epoch)
     write_epoch(insert_events(written, now), root, "events", "ingest", epoch)
+    write_epoch(run.quarantine.select(*QUARANTINE.names), root, "quarantine", "ingest", epoch)
+    write_epoch(run.warnings.select(*WARNINGS.names), root, "warnings", "ingest", epoch)
+    write_epoch(run.fetch_log.select(*FETCH_LOG.names), root, "fetch_log", "ingest", epoch)
 
 
 def start_ingest(

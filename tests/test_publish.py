@@ -204,6 +204,24 @@ def test_streams(spark, now, tmp_path):
     assert read_epochs(spark, root, "nothing", STATES).count() == 0
 
 
+def test_stream_keeps_what_it_sets_aside(spark, now, tmp_path):
+    from feedspark.sources.tables import read_epochs
+    from feedspark.schemas import FETCH_LOG, schema
+
+    root, landing = str(tmp_path / "store"), str(tmp_path / "landing")
+    item = "<item><title>t</title><guid>g2</guid></item>"  # no link
+    body = f"<rss><channel><item><title>a</title><link>https://e/1</link><guid>g1</guid></item>{item}<item><title>broken"
+    rows = [{"run_id": "r0", "http_status": 200, "body": body}, {"run_id": "r1", "http_status": 404, "error_type": "HTTPStatusError", "error_message": "gone"}]
+    attempts(spark, rows).coalesce(1).write.parquet(landing)
+    start_ingest(spark, landing, root, str(tmp_path / "p"), source_config(spark, [{"id": "s1"}]), domains(spark, [{"id": "football"}]),
+                 clock=lambda: now, once=True).awaitTermination()
+    bad = schema("source_id string, run_id string, pos bigint, id string, defect string")
+    assert [(r.source_id, r.run_id, r.pos, r.defect) for r in read_epochs(spark, root, "quarantine", bad).collect()] == [("s1", "r0", 1, "missing_link")]
+    warned = schema("source_id string, run_id string, event string, lost bigint")
+    assert [(r.run_id, r.lost) for r in read_epochs(spark, root, "warnings", warned).collect()] == [("r0", 1)]
+    assert {(r.run_id, r.ok) for r in read_epochs(spark, root, "fetch_log", FETCH_LOG).collect()} == {("r0", True), ("r1", False)}
+
+
 def test_sinks(spark, now, tmp_path):
     from feedspark.operators.state import event_rows
     from feedspark.sources.tables import append_events, append_log_lines
