@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.llm import embeddings, minhash, mixing, packed_ids, pieces, preferences, quality, secrets, shards, substrings
+from feedspark.llm import (
+    embeddings, minhash, mixing, packed_ids, pieces, preferences, quality, runs, secrets, shards, substrings, whitening,
+)
 from feedspark.llm.common import prepare, table
 
 SHARDS = 40
@@ -73,6 +75,15 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", shown).drop("found")
 
 
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.digest_runs(runs.periodic_runs(runs.with_planted_repeats(docs)))
+
+
+def whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mcd_outliers": (quality_rules, None),
     "op2_pivotal_mixing": (mix, None),
@@ -84,6 +95,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_merged_bwt_dedup": (substring_dedup, None),
     "op9_secret_scan": (secret_scan, None),
     "op10_odd_sketch_dedup": (near_dedup, None),
+    "op11_basic_factor_runs": (periodic_runs, None),
+    "op12_chebyshev_whitening": (whiten, None),
 }
 
 
