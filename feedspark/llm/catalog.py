@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedspark.llm import (
-    embeddings, minhash, mixing, packed_ids, pieces, preferences, quality, runs, secrets, shards, substrings, whitening,
+    embeddings, minhash, mixing, packed_ids, pieces, preferences, quality, runs, secrets, shards, substrings,
+    toxicity, whitening,
 )
 from feedspark.llm.common import prepare, table
 
@@ -84,6 +85,10 @@ def whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mcd_outliers": (quality_rules, None),
     "op2_pivotal_mixing": (mix, None),
@@ -97,6 +102,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_odd_sketch_dedup": (near_dedup, None),
     "op11_basic_factor_runs": (periodic_runs, None),
     "op12_chebyshev_whitening": (whiten, None),
+    "op13_boosted_toxicity": (toxic, None),
 }
 
 
