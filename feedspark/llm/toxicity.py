@@ -82,6 +82,13 @@ _NO_LETTERS = re.compile(r"[\W_]+")
 _LEET = str.maketrans("013457@$!|", "oieastasil")
 
 
+# What a word is marked with, and a bound of the letters counted in one word.
+HIT, INSULT, PERSON, SHOUTED, ENDED, DISGUISED, REVEALED = (1 << k for k in range(7))
+MOST_LETTERS = 2**27 - 1
+# Words that a Python worker remembers.
+REMEMBERED = 300_000
+
+
 @dataclass(frozen=True)
 class Lexicon:
     words: frozenset[str]
@@ -101,9 +108,9 @@ class Scorer:
     curve: tuple[float, ...]
 
 
-def bare_words(text: str) -> list[tuple[str, str]]:
-    """Words of the text as they stand, and in lower case without marks at their ends."""
-    return [(w, _EDGES.sub("", w.lower())) for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+def bare(word: bytes) -> str:
+    """A word in lower case without marks at its ends."""
+    return _EDGES.sub("", word.decode("utf-8", "replace").lower())
 
 
 def unmasked(word: str) -> list[str]:
@@ -119,40 +126,54 @@ def entries(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) >= k)]
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    words = bare_words(text)
-    n = max(len(words), 1)
-    known: dict[str, bool] = {}
-    hits, people, insults, shouted, ended, disguised, revealed = [], [], 0, 0, 0, 0, 0
-    for place, (raw, word) in enumerate(words):
-        if word in SECOND_PERSON:
-            people.append(place)
-        hit = known.get(word)
-        if hit is None:
-            hit = known[word] = lexicon.holds(word)
-        insults += word in INSULTS
+class Marked(dict):
+    """Word -> its marks in the low bits, its capitals and letters above them.  Words seen are remembered, within a bound."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        super().__init__()
+        self._lexicon = lexicon
+
+    def __missing__(self, raw: bytes) -> int:
+        text, word = raw.decode("utf-8", "replace"), bare(raw)
+        insult = word in INSULTS
+        hit = insult or self._lexicon.holds(word)
+        disguised = revealed = False
         if len(word) > 2 and not word.isalpha() or _TRIPLE.search(word):
             maybe = unmasked(word)
-            disguised += bool(maybe)
-            if not hit and any(m in INSULTS or lexicon.holds(m) for m in maybe):
-                hit, revealed = True, revealed + 1
-        if hit or word in INSULTS:
-            hits.append(place)
-        shouted += len(word) > 1 and raw.isupper()
-        ended += raw[-2:] in ("!!", "??", "!?", "?!")
-    at = np.asarray(hits)
+            disguised = bool(maybe)
+            revealed = not hit and any(m in INSULTS or self._lexicon.holds(m) for m in maybe)
+        marks = (hit or revealed) * HIT + insult * INSULT + (word in SECOND_PERSON) * PERSON
+        marks += (len(word) > 1 and text.isupper()) * SHOUTED + (text[-2:] in ("!!", "??", "!?", "?!")) * ENDED
+        marks += disguised * DISGUISED + revealed * REVEALED
+        capitals, letters = (min(sum(map(f, text)), MOST_LETTERS) for f in (str.isupper, str.isalpha))
+        code = marks | capitals << 8 | letters << 35
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[raw] = code
+        return code
+
+
+def features(text: bytes, marked: Marked) -> list[float]:
+    # bytes.split knows just the six separators.
+    words = text.split()
+    code = np.fromiter(map(marked.__getitem__, words), np.int64, len(words))
+    n = max(len(words), 1)
+
+    def share(mark: int) -> float:
+        return np.count_nonzero(code & mark) / n
+
+    at = np.flatnonzero(code & HIT)
     peak = near = 0
     if len(at):
         peak = int((np.searchsorted(at, at + WINDOW) - np.arange(len(at))).max())
-        who = np.asarray([-(10**9), *people, 10**12])
+        who = np.concatenate([[-(10**9)], np.flatnonzero(code & PERSON), [10**12]])
         after = np.searchsorted(who, at)
         near = int((np.minimum(who[after] - at, at - who[after - 1]) <= NEAR).sum())
-    letters = sum(map(str.isalpha, text))
-    capitals = sum(map(str.isupper, text))
-    marks = text.count("!") + text.count("?")
+    capitals, letters = int((code >> 8 & MOST_LETTERS).sum()), int((code >> 35).sum())
+    asked = text.count(b"!") + text.count(b"?")
     return [
-        insults / n, len(hits) / n, float(len(hits)), float(peak), near / n, len(people) / n, capitals / max(letters, 1),
-        shouted / n, marks / max(len(text), 1), ended / n, disguised / n, revealed / n, math.log1p(len(words)),
+        share(INSULT), len(at) / n, float(len(at)), float(peak), near / n, share(PERSON), capitals / max(letters, 1),
+        share(SHOUTED), asked / max(len(text), 1), share(ENDED), share(DISGUISED), share(REVEALED), math.log1p(len(words)),
     ]
 
 
@@ -160,13 +181,15 @@ def with_features(rows: DataFrame, lexicon: Lexicon, keep: Sequence[str]) -> Dat
     """``keep`` and the features of each ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = Marked(lexicon)
         for batch in batches:
-            found = [features(t.as_py() or "", lexicon) for t in batch.column(len(keep))]
+            found = [features(t.as_py() or b"", marked) for t in batch.column(len(keep))]
             kept = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.float64()))], names=[*keep, "features"])
 
     kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "text").mapInArrow(run, f"{kept}, features array<double>")
+    narrow = rows.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
+    return narrow.mapInArrow(run, f"{kept}, features array<double>")
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
@@ -180,9 +203,10 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
 
         held: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[toxic].update({e for w in {b for _, b in bare_words(text or "")} if w for e in entries(w)})
-            if len(held[0]) + len(held[1]) > 500_000:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = set(map(bare, set((text.as_py() or b"").split())))
+                held[toxic].update({e for w in found if w for e in entries(w)})
+            if len(held[0]) + len(held[1]) > REMEMBERED:
                 yield emit()
                 held = (Counter(), Counter())
         yield emit()
@@ -191,7 +215,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     clean, toxic = F.sum("clean") + 0.5, F.sum("toxic") + 0.5
     odds = F.log(toxic / (size.get(1, 0) + 1)) - F.log(clean / (size.get(0, 0) + 1))
     surely = odds - SURE * F.sqrt(1 / toxic + 1 / clean)
-    counted = rows.select("text", "toxic").mapInArrow(count, "entry string, clean long, toxic long")
+    texts = rows.select(F.col("text").cast("binary"), "toxic")
+    counted = texts.mapInArrow(count, "entry string, clean long, toxic long")
     best = (
         counted.groupBy("entry").agg(F.sum("toxic").alias("n"), surely.alias("surely"))
         .filter((F.col("n") >= FEWEST_TOXIC) & (F.col("surely") >= ODDS))
@@ -212,7 +237,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """text, toxic and fold of the labelled rows that may be learned from, written once."""
+    """text, toxic and fold of the labelled rows that may be learned from.
+
+    Their labels, at most about ``most`` rows of two numbers, are broadcast, so no text is shuffled.
+    """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
@@ -221,8 +249,8 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
         known = known.filter(share)
     fold = F.floor(checksum(F.col("doc_id")) / 4) % 5
     named = F.when(fold < 2, F.lit("lexicon")).when(fold < 4, F.lit("trees")).otherwise(F.lit("curve"))
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id")
-    return set_aside(joined.select("text", "toxic", named.alias("fold")))
+    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    return joined.select("text", "toxic", named.alias("fold"))
 
 
 def rising(share: Sequence[float], weight: Sequence[float]) -> list[float]:
