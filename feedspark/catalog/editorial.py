@@ -240,7 +240,7 @@ def _decisions(spark: SparkSession, d: str) -> DataFrame:
     return batch_decisions(_matched(spark, d), domains(spark, d))
 
 
-def _waiting(spark: SparkSession, d: str) -> DataFrame:
+def waiting(spark: SparkSession, d: str) -> DataFrame:
     """The documents as stored articles that wait for their decision."""
     values = {
         "id": F.concat(F.lit("a"), "doc_id"),
@@ -259,8 +259,11 @@ def _waiting(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_apply(spark: SparkSession, d: str) -> DataFrame:
-    done = apply_decisions(_waiting(spark, d), _decisions(spark, d), instant(NOW))
-    return done.select(
+    return decided(apply_decisions(waiting(spark, d), _decisions(spark, d), instant(NOW)))
+
+
+def decided(states: DataFrame) -> DataFrame:
+    return states.select(
         "id", "domain_id", "editorial_status", "rejection_reason", "final_language", "final_title",
         F.md5("final_text").alias("text_md5"), "last_error_stage", "last_error_message",
         ntz("llm_processed_at").alias("llm_processed_at"), ntz("rejected_at").alias("rejected_at"),
@@ -381,7 +384,7 @@ FROM judged WHERE ok
 
 def single_apply(spark: SparkSession, d: str) -> DataFrame:
     decisions = single_decisions(single_answers(spark, d), domains(spark, d))
-    done = apply_decisions(_waiting(spark, d), decisions, instant(NOW), only_changed=True)
+    done = apply_decisions(waiting(spark, d), decisions, instant(NOW), only_changed=True)
     return done.select(
         "id", "editorial_status", "rejection_reason", "final_language", "final_title",
         F.md5("final_text").alias("text_md5"), "last_error_stage", "last_error_message",

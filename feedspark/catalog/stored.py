@@ -192,7 +192,7 @@ SELECT count(CASE WHEN action = 'published' THEN 1 END) AS published_articles,
 """
 
 
-def _publish_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def publish_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = stored(spark, d)
     posts = eligible(rows, sources(spark, d), domains(spark, d))
     return rows, publish_decisions(posts, outcomes(spark, d))
@@ -200,7 +200,7 @@ def _publish_all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def publish_transitions(spark: SparkSession, d: str) -> DataFrame:
     """The whole store after every eligible article got its recorded outcome."""
-    rows, decisions = _publish_all(spark, d)
+    rows, decisions = publish_all(spark, d)
     return apply_decisions(rows, decisions, instant(NOW)).select(
         "id", "lifecycle_state", "publication_status", "publication_error", "telegram_message_id",
         ntz("telegram_published_at").alias("telegram_published_at"), "editorial_status",
@@ -231,7 +231,7 @@ FROM stored s LEFT JOIN tried t ON t.tried_id = s.id
 
 
 def publish_events(spark: SparkSession, d: str) -> DataFrame:
-    _, decisions = _publish_all(spark, d)
+    _, decisions = publish_all(spark, d)
     return decision_events(decisions, instant(NOW)).select(
         "article_id", "event_type", ntz("created_at").alias("created_at"), "details_json", "error_message"
     )

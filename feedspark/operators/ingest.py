@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark.operators.lookups import lookup, present_in
+from feedspark.operators.matching import greedy_matching
 from feedspark.operators.ranking import first_per_key, order_struct, ordered_rank
 from feedspark.operators.state import event_rows
 from feedspark.schemas import ARTICLES
@@ -129,29 +130,18 @@ def settle_inserts(articles: DataFrame, store: DataFrame) -> tuple[DataFrame, Da
 
     An item that clashes leaves nothing behind, so a later copy of its url may still be inserted and a
     later item may take the pair that a duplicate did not.  The result is that of inserting one by one in
-    ingest order: an item goes in once it comes first among the open items of its id and of its pair, what
-    it rules out leaves, and this repeats until nothing is open.  Rounds work on one row per id and pair, and
-    there are more than two only where clashes depend on each other.
+    ingest order, on one row per id and pair.  Items that meet no other in their id or pair go in at once; only the others
+    are matched, and chains of clashes end in few rounds whatever their length.
     """
     rows = articles.select("id", *PAIR, *FETCH[1:], "pos", key_place().alias("_place"))
     fresh = set_aside(rows.join(known_ids(store, rows), "id", "left_anti"))
     named = fresh.filter(F.col("source_item_external_id").isNotNull())
-    waiting = set_aside(
-        fresh.join(held_pairs(named, store), PAIR, "left_anti").groupBy("id", *PAIR).agg(F.min("_place").alias("_place"))
-    )
-    taken = waiting.limit(0)
-    while not waiting.isEmpty():
-        of_id = waiting.groupBy("id").agg(F.min("_place").alias("_place"))
-        of_pair = waiting.filter(F.col("source_item_external_id").isNotNull()).groupBy(*PAIR).agg(F.min("_place").alias("_place"))
-        unnamed = F.col("source_item_external_id").isNull()
-        leading = waiting.join(of_id.select("_place"), "_place", "left_semi")
-        now_in = set_aside(
-            leading.filter(unnamed).unionByName(leading.filter(~unnamed).join(of_pair.select("_place"), "_place", "left_semi"))
-        )
-        taken = taken.unionByName(now_in)
-        waiting = set_aside(
-            waiting.join(now_in.select("id"), "id", "left_anti").join(now_in.select(*PAIR), PAIR, "left_anti")
-        )
+    waiting = fresh.join(held_pairs(named, store), PAIR, "left_anti").groupBy("id", *PAIR).agg(F.min("_place").alias("_place"))
+    marked = set_aside(meets_others(waiting))
+    crowd = marked.filter("_met").drop("_met")
+    taken = marked.filter("not _met").drop("_met")
+    if not crowd.isEmpty():
+        taken = taken.unionByName(greedy_matching(crowd, ["id"], PAIR))
     placed = taken.select("id", F.col("_place").alias("_in"))
     # An item before the one inserted under its id, or of an id never inserted, can only have clashed.
     lost = (
@@ -161,6 +151,17 @@ def settle_inserts(articles: DataFrame, store: DataFrame) -> tuple[DataFrame, Da
     return at_places(articles, taken), lost
 
 
+def meets_others(items: DataFrame) -> DataFrame:
+    """Add ``_met``: whether another of the ``items`` (id, pair) has the same id or the same pair."""
+    two = F.count(F.lit(1)) > 1
+    ids = items.groupBy("id").agg(two.alias("_two")).filter("_two").select("id", F.lit(True).alias("_of_id"))
+    named = items.filter(F.col("source_item_external_id").isNotNull())
+    pairs = named.groupBy(*PAIR).agg(two.alias("_two")).filter("_two").select(*PAIR, F.lit(True).alias("_of_pair"))
+    marked = items.join(ids, "id", "left").join(pairs, PAIR, "left")
+    met = F.coalesce("_of_id", F.lit(False)) | F.coalesce("_of_pair", F.lit(False))
+    return marked.select(*items.columns, met.alias("_met"))
+
+
 def clash_cut(insertable: DataFrame, store: DataFrame) -> DataFrame:
     """Place of the first external-id clash per fetch.
 

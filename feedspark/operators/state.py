@@ -163,6 +163,16 @@ def decision_events(decisions: DataFrame, now: Column) -> DataFrame:
     )
 
 
+# Steps in the order in which one moment's rows of an article count.
+STEPS = ("ingest", "editorial", "publish")
+
+
+def step_rank() -> Column:
+    """Place of ``step`` among the steps; an unknown one comes last."""
+    known = [F.when(F.col("step") == name, F.lit(k)) for k, name in enumerate(STEPS)]
+    return F.coalesce(*known, F.lit(len(STEPS)))
+
+
 def latest_events(events: DataFrame) -> DataFrame:
     """Most recent audit row of each article."""
     rest = [c for c in events.columns if c != "article_id"]
@@ -171,12 +181,12 @@ def latest_events(events: DataFrame) -> DataFrame:
 
 
 def current_states(states: DataFrame) -> DataFrame:
-    """Latest row of each article in the append-only state log.
+    """Latest row of each article in the append-only state log; rows of one time count by step, then epoch.
 
     The log is narrow: selection and publishing work on it alone and never read article content.
     """
     rest = [c for c in STATES.names if c != "id"]
-    last = F.max_by(F.struct(*rest), F.struct("updated_at", "epoch")).alias("_s")
+    last = F.max_by(F.struct(*rest), F.struct("updated_at", step_rank(), "epoch")).alias("_s")
     return states.groupBy("id").agg(last).select("id", "_s.*")
 
 

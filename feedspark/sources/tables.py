@@ -43,12 +43,26 @@ def write_epoch(df: DataFrame, root: str, table: str, step: str, epoch: int) ->
     return target
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    folder, files = _folder(spark, path)
+    return files.exists(folder)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no reader can ask for any more; a missing one is none."""
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
 def read_epochs(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
     """All written folders of a table with their ``step`` and ``epoch``; empty before the first write."""
     full = T.StructType([*schema.fields, T.StructField("step", T.StringType()), T.StructField("epoch", T.LongType())])
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not folder_exists(spark, f"{root}/{table}"):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(f"{root}/{table}")
 
@@ -68,6 +82,15 @@ def stored_states(spark: SparkSession, root: str) -> DataFrame:
     return read_epochs(spark, root, "states", STATES)
 
 
+def follow_states(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
+    """The state log as a stream with ``step`` and ``epoch``."""
+    full = T.StructType([*STATES.fields, T.StructField("step", T.StringType()), T.StructField("epoch", T.LongType())])
+    reader = spark.readStream.schema(full)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{root}/states")
+
+
 def stored_events(spark: SparkSession, root: str) -> DataFrame:
     return read_epochs(spark, root, "events", EVENTS)
 

@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedspark.operators.ingest import insert_events
-from feedspark.operators.state import current_states
 from feedspark.plans.ingest_run import ingest_run
 from feedspark.plans.publish_run import publish_once
 from feedspark.schemas import ARTICLES, EVENTS, FETCH_ATTEMPTS, FETCH_LOG, QUARANTINE, STATES, WARNINGS
 from feedspark.sources.connectors import Deliverer
 from feedspark.sources.tables import (
+    follow_states,
     stored_articles,
-    stored_states,
     without_epoch,
     write_epoch,
 )
+from feedspark.streaming.state_store import changed_states, roll_queue
 
 Clock = Callable[[], Column]
 
@@ -70,26 +70,36 @@ def start_ingest(
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
-def publish_tick(
-    spark: SparkSession, epoch: int, root: str, sources: DataFrame, domains: DataFrame, deliver: Deliverer,
-    now: Column,
+def publish_next(
+    queue: DataFrame, epoch: int, root: str, sources: DataFrame, domains: DataFrame, deliver: Deliverer, now: Column
 ) -> None:
-    """Publish the next article and log its new state; article content is not read."""
-    states = current_states(without_epoch(stored_states(spark, root), "publish", epoch))
-    run = publish_once(states, sources, domains, deliver, now)
+    """Publish the next article of the ``queue`` and log its new state; article content is not read."""
+    run = publish_once(queue, sources, domains, deliver, now)
     write_epoch(run.changed.select(*STATES.names), root, "states", "publish", epoch)
     write_epoch(run.events.select(*EVENTS.names), root, "events", "publish", epoch)
 
 
 def start_publisher(
-    ticks: DataFrame, root: str, checkpoint: str, sources: DataFrame, domains: DataFrame, deliver: Deliverer,
-    clock: Clock = F.current_timestamp, *, interval_seconds: int = 60, once: bool = False,
+    ticks: DataFrame | None, root: str, checkpoint: str, sources: DataFrame, domains: DataFrame, deliver: Deliverer,
+    clock: Clock = F.current_timestamp, *, interval_seconds: int = 60, files_per_batch: int | None = None,
+    once: bool = False,
 ) -> StreamingQuery:
-    """One article per micro-batch of ``ticks`` (for example Spark's rate source), at most one per interval."""
+    """One article per micro-batch, at most one per interval, from a queue that follows the state log.
+
+    A keyed store holds each article's newest state, so a micro-batch reads only what the log gained: what it
+    published last is among that, and a micro-batch whose log did not grow does not run.  ``ticks`` (for example Spark's rate
+    source) make it run all the same, which is needed where a delivery may come back without an outcome.
+    """
+    spark = sources.sparkSession
+    log = follow_states(spark, root, files_per_batch)
+    if ticks is not None:
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema.fields]
+        log = log.unionByName(ticks.select(*nothing))
 
     def step(batch: DataFrame, epoch: int) -> None:
-        publish_tick(batch.sparkSession, epoch, root, sources, domains, deliver, clock())
+        queue = roll_queue(batch.sparkSession, root, epoch, batch)
+        publish_next(queue, epoch, root, sources, domains, deliver, clock())
 
-    writer = ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    writer = changed_states(log).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
     period = f"{max(int(interval_seconds), 1)} seconds"
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=period)).start()
