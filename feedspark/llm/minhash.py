@@ -2,11 +2,14 @@
 
 A document is the set of its five-word shingles.  Texts with the same words are one class and are
 compared once.  Each class gets ``BANDS`` x ``ROWS`` minimum hashes.  Classes that agree in all rows of a
-band are candidates.  The minima are also folded into an odd sketch: every (position, minimum) pair flips
-one bit of a bitmap.  Two bitmaps differ where only one side flipped, so the number of unequal bits
-estimates how many minima differ, and it is most precise for similar sets.  A candidate whose
-sketches are too far apart for the threshold, by ``SURE`` standard deviations, is dropped; every other one is
-confirmed on the full sets.
+band are candidates.
+
+A candidate is verified by odd sketches.  The sample of a set are its shingles with the smallest hashes: all of them in a set of up to
+``SAMPLE``, and below half, a quarter, ... of the range in larger ones.  Each shingle of the sample flips one bit of a
+bitmap.  In the XOR of two bitmaps only shingles of one side remain, at most one bit for each, so the
+number of its ones is a lower bound of the symmetric difference of the samples, and close to it.  A pair at the
+threshold differs in a seventh of its shingles.  A whole sample with more ones is below it for certain; for a
+part of the set it must be more by ``SURE`` standard deviations.  Pairs that pass are confirmed on the full sets.
 
 Groups of near copies are not expanded into pairs.  First every class is confirmed against the ``HEADS`` heads
 of its bands with which it shares most bands, which joins a group of m copies with few comparisons each; this
@@ -17,7 +20,7 @@ A pair at the threshold shares no band with probability (1 - 0.75**4)**32 < 0.00
 
 Defined results.  A null text, an empty text and one without words have an empty set, link with nothing and are
 kept.  A text of fewer than five words is one shingle.  Rows that share a doc_id are reported one by one and
-count as one document; a null doc_id is never linked.  An empty table gives no row.  Extra columns
+count as one document, which has the links of all their texts; a null doc_id is never linked.  An empty table gives no row.  Extra columns
 are ignored.  Texts of any length are read whole.
 """
 
@@ -40,8 +43,10 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 THRESHOLD = 0.75
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
 SKETCH_WORDS = SKETCH_BITS // 64
+# Sets up to this size are sampled whole; of a larger one about half to all of it is.
+SAMPLE = 512
 SURE = 5.0
 STAR_ROUNDS = 4
 HEADS = 3
@@ -56,6 +61,10 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def digest_of(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def shingle_set(words: list[bytes], hasher: RollingHash) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles."""
     if not words:
@@ -77,43 +86,45 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(minima: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the (position, minimum) pairs as ``SKETCH_WORDS`` signed numbers."""
-    with np.errstate(over="ignore"):
-        bit = mix64(minima + np.arange(HASHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)
-    parity = (np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(parity, bitorder="little").view("<i8")
-
+def level_of(n: int) -> int:
+    """How often the range of hashes is halved to leave about ``SAMPLE`` of ``n`` shingles."""
+    return max(0, math.ceil(math.log2(max(n, 1) / SAMPLE)))
 
-def most_unequal(threshold: float = THRESHOLD) -> int:
-    """Unequal bits above which two sets at the threshold are found with negligible chance.
 
-    Of the minima, Binomial(HASHES, 1 - threshold) differ; each differing one flips two bits.  Flips that meet
-    in one bit cancel, which adds the spread of an occupancy.  The two spreads are independent.
-    """
-    m, differ = SKETCH_BITS, HASHES * (1 - threshold)
-    one, two = (1 - 2 / m) ** (2 * differ), (1 - 4 / m) ** (2 * differ)
-    odd, both_odd = (1 - one) / 2, (1 - 2 * one + two) / 4
-    occupancy = m * odd + m * (m - 1) * both_odd - (m * odd) ** 2
-    per_minimum = -m * math.log(1 - 2 / m) * one
-    spread = math.sqrt(per_minimum**2 * differ * threshold + max(occupancy, 0.0))
-    return math.ceil(m * odd + SURE * spread)
+def odd_sketch(shingles: np.ndarray, level: int) -> np.ndarray:
+    """Parity bitmap of the shingles whose mixed hash starts with ``level`` zero bits, as ``SKETCH_WORDS`` signed numbers."""
+    mixed = mix64(shingles ^ np.uint64(0xD6E8FEB86659FD93))
+    if level:
+        mixed = mixed[mixed >> np.uint64(64 - level) == 0]
+    bit = (mixed % np.uint64(SKETCH_BITS)).astype(np.int64)
+    parity = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(parity, bitorder="little").view("<i8")
 
 
 def near_enough(a: str, b: str) -> Column:
-    unequal = sum(
-        (F.bit_count(F.get(F.col(a), k).bitwiseXOR(F.get(F.col(b), k))) for k in range(SKETCH_WORDS)), F.lit(0)
-    )
-    return unequal <= most_unequal()
+    """Whether the odd sketches of two classes (structs ``a`` and ``b`` of n, level, sketch, coarse) allow the threshold.
+
+    ``coarse`` is the sketch one level up.  Sets at the threshold differ in size by a third at most, so levels that
+    are further apart rule it out.
+    """
+    x, y = F.col(a), F.col(b)
+    u = F.when(x["level"] >= y["level"], x["sketch"]).otherwise(x["coarse"])
+    v = F.when(y["level"] >= x["level"], y["sketch"]).otherwise(y["coarse"])
+    ones = sum((F.bit_count(F.get(u, k).bitwiseXOR(F.get(v, k))) for k in range(SKETCH_WORDS)), F.lit(0))
+    level = F.greatest(x["level"], y["level"])
+    most = (x["n"] + y["n"]) * ((1 - THRESHOLD) / (1 + THRESHOLD)) / F.pow(F.lit(2.0), level)
+    allowed = most + F.when(level > 0, SURE * F.sqrt(most)).otherwise(1e-6)
+    sizes = (x["n"] >= THRESHOLD * y["n"]) & (y["n"] >= THRESHOLD * x["n"])
+    return sizes & (F.abs(x["level"] - y["level"]) <= 1) & (ones <= allowed)
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a digest of the word sequence, band keys and the odd sketch."""
+    """doc_id, n_shingles, a digest of the word sequence, band keys and the odd sketches at its level and one up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
         for batch in batches:
-            counts, digests, bands, sketches = [], [], [], []
+            counts, digests, bands, sketches, coarse = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = normal_words(text)
                 shingles = shingle_set(words, hasher)
@@ -122,8 +133,9 @@ def describe(docs: DataFrame) -> DataFrame:
                     digests.append(None)
                     bands.append([])
                     sketches.append([])
+                    coarse.append([])
                     continue
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                digests.append(digest_of(words))
                 minima = signature(shingles)
                 with np.errstate(over="ignore"):
                     key = np.zeros(BANDS, np.uint64)
@@ -131,33 +143,39 @@ def describe(docs: DataFrame) -> DataFrame:
                         key = mix64(key * np.uint64(31) + minima.reshape(BANDS, ROWS)[:, r])
                     key = mix64(key + np.arange(BANDS, dtype=np.uint64))
                 bands.append(key.view(np.int64))
-                sketches.append(odd_sketch(minima))
+                level = level_of(len(shingles))
+                sketches.append(odd_sketch(shingles, level))
+                coarse.append(odd_sketch(shingles, level + 1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
+                    pa.array(coarse, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                names=["doc_id", "n_shingles", "digest", "bands", "sketch", "coarse"],
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+    schema = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, coarse array<long>"
     return narrow.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and packed sorted shingle hashes of the documents whose id is asked for."""
+def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """id and packed sorted shingle hashes of the classes ``asked`` for (id, digest, doc_id of one text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
         for batch in batches:
-            packed = [shingle_set(normal_words(t), hasher).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "shingles"])
+            words = [normal_words(t) for t in batch.column(1).to_pylist()]
+            digests = [digest_of(w) for w in words]
+            packed = [shingle_set(w, hasher).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(packed, pa.binary())], names=["digest", "shingles"])
 
-    asked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(
-        ids, "id", "left_semi"
-    )
-    return asked.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = texts.join(asked.select("doc_id"), "doc_id", "left_semi")
+    # An id may come with several texts; the digest tells them apart, and repeated rows are one.
+    found = chosen.mapInArrow(run, "digest binary, shingles binary").join(asked.select("digest", "id"), "digest")
+    return found.groupBy("digest").agg(F.first("id").alias("id"), F.first("shingles").alias("shingles")).select("id", "shingles")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,18 +198,18 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the same ``classes`` (id, bands, sketch) as all links do."""
-    every = classes.select("id", F.explode("bands").alias("key"))
+    """Links (a, b) that connect the same ``classes`` (id, digest, doc_id, bands, s) as all links do."""
+    every = classes.select("id", "doc_id", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
     placed = set_aside(every.join(shared, "key").withColumn("component", F.col("id")))
-    labels = set_aside(placed.select("id").distinct().withColumn("component", F.col("id")))
-    sketches = classes.select("id", "sketch")
-    sets = set_aside(_sets(docs, labels.select("id")))
+    labels = set_aside(placed.select("id", "doc_id").distinct().withColumn("component", F.col("id")))
+    sketches = classes.select("id", "s")
+    sets = set_aside(_sets(docs, classes.join(labels, "id", "left_semi").select("id", "digest", "doc_id")))
 
     for turn in range(STAR_ROUNDS):
-        # In each band one row is the head: first the smallest id, then another one by chance in each round.
+        # In each band one row is the head: first the smallest doc_id, then another one by chance in each round.
         # A band whose rows are in one group already stays so and leaves.
-        lot = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        lot = F.col("doc_id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         heads = mixed_bands(placed, F.min(F.struct(lot.alias("lot"), "id", "component")).alias("h"))
         asked = (
             placed.join(heads, "key").filter(F.col("component") != F.col("h.component"))
@@ -215,18 +233,18 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         moved = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         labels = set_aside(
             labels.join(moved.toDF("component", "_to"), "component", "left")
-            .select("id", F.coalesce("_to", "component").alias("component"))
+            .select("id", "doc_id", F.coalesce("_to", "component").alias("component"))
         )
         still = placed.join(heads.select("key"), "key", "left_semi").select("id", "key")
         placed = set_aside(still.join(labels, "id"))
 
-    open_rows = placed.join(mixed_bands(placed).select("key"), "key").join(classes, "id")
+    open_rows = placed.join(mixed_bands(placed).select("key"), "key").join(classes.select("id", "bands", "s"), "id")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     # The sketches decide inside the join, and a pair comes up in the first of its common bands only.
     cross = x.join(
         y,
         (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.component") != F.col("y.component")) & near_enough("x.sketch", "y.sketch")
+        & (F.col("x.component") != F.col("y.component")) & near_enough("x.s", "y.s")
         & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")),
     ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     stars = labels.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
@@ -243,18 +261,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept."""
     rows = set_aside(describe(docs))
     good = rows.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    first = good.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    named = set_aside(good.select("doc_id", "digest").join(first, "digest").select("doc_id", "id").distinct())
-    classes = set_aside(
-        good.join(first, "digest").filter(F.col("doc_id") == F.col("id")).select("id", "bands", "sketch").dropDuplicates(["id"])
+    sketch = F.struct(
+        F.col("n_shingles").alias("n"),
+        F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_shingles") / SAMPLE))).cast("int").alias("level"), "sketch", "coarse",
+    )
+    # A class is a word sequence.  Its number stays the same, as the classes are written once.
+    distinct = good.groupBy("digest").agg(
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first(sketch).alias("s")
     )
-    links = link_classes(docs, classes)
-    # Rows that share a doc_id but not a text tie their classes together.
-    same = named.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
-    found = components(links.union(same))
+    classes = set_aside(distinct.withColumn("id", F.monotonically_increasing_id()))
+    named = set_aside(good.select("doc_id", "digest").distinct().join(classes.select("digest", "id"), "digest").select("doc_id", "id"))
+    # Texts that share a doc_id tie their classes together.
+    tied = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_z")).filter("a < _z")
+    same = named.join(tied, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b")
+    found = components(link_classes(docs, classes).union(same))
+    grouped = named.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # All classes of a doc_id are in one component.
+    of_doc = grouped.groupBy("doc_id").agg(F.first("component").alias("component")).join(smallest, "component").drop("component")
     return (
         rows.select("doc_id", "n_shingles")
-        .join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        .join(of_doc, "doc_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

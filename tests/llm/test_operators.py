@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 
 from feedspark.llm import (
     catalog, common, embeddings, minhash, mixing, packed_ids, pieces, preferences, quality, secrets, shards, substrings,
@@ -404,3 +405,71 @@ def test_pipeline_follows_its_stages(spark, docs):
     assert shown and all(r.restored for r in shown)
     plain = {k: t for k, t in enumerate(texts())}
     assert all(r.ids == library.encode(plain[r.doc_id]) for r in shown if "SECRET" not in library.decode(r.ids))
+
+
+def near_by_hand(rows):
+    """Smallest doc_id reachable over links of full sets; texts under one doc_id go together."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words((t or "").lower()) for _, t in rows)]
+    up = list(range(len(rows)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            linked = sets[i] and 100 * both >= 75 * len(sets[i] | sets[j])
+            if rows[i][0] is not None and rows[j][0] is not None and (linked or rows[i][0] == rows[j][0]):
+                up[root(i)] = root(j)
+    smallest = {}
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            smallest[root(k)] = min(smallest.get(root(k), doc_id), doc_id)
+    return {doc_id: smallest[root(k)] for k, (doc_id, _) in enumerate(rows) if doc_id is not None}
+
+
+def test_near_duplicates_with_two_texts_under_one_id(spark):
+    rng = random.Random(9)
+    a, b = ([f"{p}{rng.randrange(900)}" for _ in range(60)] for p in "ab")
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, " ".join([*a[:59], "x"])), (9, " ".join([*b[:59], "y"])), (10, "other words here"), (7, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()]
+    assert sorted(got) == [(7, 7, True)] * 3 + [(8, 7, False), (9, 7, False), (10, 10, True)]
+    assert {d: c for d, c, _ in got} == near_by_hand(rows)
+
+
+def test_near_duplicates_around_the_threshold(spark, monkeypatch):
+    """A cluster whose pairs lie on both sides of the threshold: few candidates reach the full sets, no link is lost."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(260):
+        text = list(base)
+        for at in rng.sample(range(60), 2):
+            text[at] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    asked = []
+    confirm = minhash.confirm
+    monkeypatch.setattr(minhash, "confirm", lambda pairs, sets: asked.append(pairs.count()) or confirm(pairs, sets))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_by_hand(rows)
+    assert sum(asked) < 260 * 259 / 2 / 10
+
+
+@pytest.mark.parametrize("size", [40, 500, 700, 3000, 20_000])
+def test_odd_sketches_keep_pairs_at_the_threshold(spark, size):
+    rng = np.random.default_rng(size)
+    rows = []
+    for k in range(40):
+        every = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+        apart = size // 8 if k < 20 else size // 3  # of the union a quarter differs, or half
+        for side, part in enumerate((every[:size], np.concatenate([every[apart : size], every[size : size + apart]]))):
+            level = minhash.level_of(size)
+            rows.append((k, side, (size, level, minhash.odd_sketch(part, level).tolist(), minhash.odd_sketch(part, level + 1).tolist())))
+    table = spark.createDataFrame(rows, "k int, side int, s struct<n long, level int, sketch array<long>, coarse array<long>>")
+    x, y = (table.filter(f"side = {n}").select("k", F.col("s").alias(c)) for n, c in ((0, "u"), (1, "v")))
+    passed = {r.k for r in x.join(y, "k").filter(minhash.near_enough("u", "v")).collect()}
+    assert passed >= set(range(20))
+    assert len(passed - set(range(20))) <= 2
