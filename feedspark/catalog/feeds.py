@@ -452,7 +452,7 @@ FROM judged, kinds WHERE event_type = 'INGESTED' OR NOT llm_enabled
 """
 
 
-def _supplier_sources(spark: SparkSession, d: str) -> DataFrame:
+def supplier_sources(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("s_suppkey")
     values = {
         "id": F.concat(F.lit("s"), key),
@@ -473,7 +473,7 @@ def _supplier_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_upsert(spark: SparkSession, d: str) -> DataFrame:
-    everything = _supplier_sources(spark, d)
+    everything = supplier_sources(spark, d)
     number = F.substring("id", 2, 12).cast("bigint")
     current = everything.filter(number % 3 != 0)
     arriving = everything.filter(number % 3 != 1).withColumn("name", F.concat("name", F.lit(" v2")))
@@ -517,8 +517,12 @@ def fetch_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_health(spark: SparkSession, d: str) -> DataFrame:
-    done = record_fetches(_supplier_sources(spark, d), fold_source_health(fetch_log(spark, d)), instant(NOW))
-    return done.select(
+    done = record_fetches(supplier_sources(spark, d), fold_source_health(fetch_log(spark, d)), instant(NOW))
+    return source_health_columns(done)
+
+
+def source_health_columns(sources: DataFrame) -> DataFrame:
+    return sources.select(
         "id", ntz("last_fetch_at").alias("last_fetch_at"), ntz("last_success_at").alias("last_success_at"),
         ntz("last_error_at").alias("last_error_at"), "consecutive_error_count", "total_error_count",
         "last_http_status", "last_error_message", "last_item_external_id", ntz("updated_at").alias("updated_at"),

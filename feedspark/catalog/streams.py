@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.catalog import editorial
+from feedspark.catalog import editorial, feeds
 from feedspark.catalog.feeds import LOST_ITEM, feed_documents
 from feedspark.catalog.stored import PUBLISH_TRANSITIONS_SQL, PUBLISH_SCHEDULE_SQL, publish_all
 from feedspark.catalog.views import OUTCOMES_CTE, domains, instant, ntz, outcomes, sources, stored, table
+from feedspark.operators.health import record_fetches
 from feedspark.operators.parsing import NO_ANSWER
 from feedspark.operators.state import apply_decisions, current_states
 from feedspark.plans.ingest_run import ingest_run
@@ -21,6 +22,7 @@ from feedspark.sources.tables import (
     follow_states, stored_articles, stored_fetch_log, stored_quarantine, stored_states, stored_warnings, write_epoch,
 )
 from feedspark.streaming.editorial import ANSWERS, TICKS, asked_requests, start_editorial
+from feedspark.streaming.health import kept_health, start_health
 from feedspark.streaming.state_store import changed_states, kept_states
 from feedspark.streaming.workers import start_ingest, start_publisher
 
@@ -165,6 +167,18 @@ PUBLISH_WORKER_SQL = f"""{_RELEASED_CTE}, {OUTCOMES_CTE}, tried AS (
 {PUBLISH_TRANSITIONS_SQL[PUBLISH_TRANSITIONS_SQL.rindex("SELECT s.id"):]}"""
 
 
+def stream_source_health(spark: SparkSession, d: str) -> DataFrame:
+    """Sources after their health ran along with the fetch log, which landed in three epochs, not in order of time."""
+    base = new_base(spark)
+    log = feeds.fetch_log(spark, d)
+    for k in range(3):
+        write_epoch(log.filter(F.col("seq") % 3 == k), base, "fetch_log", "ingest", k)
+        if k:
+            start_health(spark, base, f"{base}/progress", once=True).awaitTermination()
+    health = kept_health(spark, f"{base}/progress")
+    return feeds.source_health_columns(record_fetches(feeds.supplier_sources(spark, d), health, instant(feeds.NOW)))
+
+
 # -- requests and answers as streams ----------------------------------------------------------------
 #
 # Requests land in two slices, an hour is the limit.  Of 13 batches one is answered after three hours, of 11 one never, and of 5
@@ -264,5 +278,6 @@ QUERIES = {
     "stream_quarantine": (stream_quarantine, STREAM_QUARANTINE_SQL),
     "keyed_states": (keyed_states, PUBLISH_TRANSITIONS_SQL),
     "publish_worker": (publish_worker, PUBLISH_WORKER_SQL),
+    "stream_source_health": (stream_source_health, feeds.SOURCE_HEALTH_SQL),
     "stream_decisions": (stream_decisions, STREAM_DECISIONS_SQL),
 }
