@@ -1,4 +1,9 @@
-"""The training-data pipeline: stages in order, each over all its predecessor kept."""
+"""The training-data pipeline: stages in order, each over all its predecessor kept.
+
+Defined results of the stages.  A null or empty text fails the first stage.  Repeated rows stay repeated, also where near copies
+are left out: what is kept there are ids.  Rows without an id, language or source are kept like others.  An empty
+table gives no row.  Extra columns are carried along whatever their names, but for the last stage, which returns ids and texts only.
+"""
 
 from __future__ import annotations
 
@@ -9,16 +14,23 @@ from pyspark.sql import functions as F
 
 from feedspark.llm import minhash, mixing, pieces, quality, secrets
 from feedspark.llm.catalog import vocabulary
-from feedspark.llm.common import prepare
+from feedspark.llm.common import free_name, prepare
 from feedspark.session import set_aside
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def sheltered(docs: DataFrame, read: tuple[str, ...]) -> DataFrame:
+    """``docs`` with the columns that a stage only carries along under names that clash with no result of it."""
+    names = [c if c in read else free_name([*docs.columns, *read], f"_carried{k}") for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers in their language and source."""
     prepare(spark)
-    return quality.judge(docs, docs.columns).filter("kept").select(*docs.columns)
+    rows = sheltered(docs, ("doc_id", "text", "lang", "source"))
+    return quality.judge(rows, rows.columns).filter("kept").select(*rows.columns).toDF(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +53,10 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     prepare(spark)
-    mixed = mixing.mix_sources(docs, docs.columns).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows = sheltered(docs, ("doc_id", "text", "source"))
+    mixed = mixing.mix_sources(rows, rows.columns).filter("copies > 0")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return mixed.withColumn("_copy", times).select(*rows.columns).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
