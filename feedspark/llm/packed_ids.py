@@ -19,7 +19,6 @@ columns of the input are ignored, whatever their names.  A text of any length is
 from __future__ import annotations
 
 import functools
-import gc
 import itertools
 import struct
 import uuid
@@ -52,7 +51,7 @@ def width_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     if width in (8, 16, 32):  # the same bits, without going through single ones
-        return ids.astype(f"<u{width // 8}").tobytes()
+        return ids.astype(f"<u{width // 8}", copy=False).tobytes()
     bits = (ids.astype(np.uint32)[:, None] >> np.arange(width, dtype=np.uint32)) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -143,9 +142,10 @@ class WordEncoder:
     tokenizer.  Both memories stop taking words when full: the frequent ones come first.
     """
 
-    def __init__(self, tokenizer_path: str) -> None:
+    def __init__(self, tokenizer_path: str, dtype: str = "<u4") -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.dtype = dtype
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.parts = Tokenizer(self.tokenizer.model)
         self.parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -165,7 +165,7 @@ class WordEncoder:
 
     def _encode(self, tokenizer, items: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(items, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in found]
 
     def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
         texts = [w.decode() for w in words]
@@ -185,7 +185,7 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers in a row."""
+        """The ids of each text as little-endian numbers of ``dtype`` in a row."""
         split = [(t or "").encode().split() for t in texts]
         new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
         fresh: dict[bytes, bytes] = {}
@@ -211,10 +211,9 @@ class _Either(dict):
 
 
 @functools.cache
-def encoder_of(tokenizer_path: str) -> WordEncoder:
+def encoder_of(tokenizer_path: str, dtype: str) -> WordEncoder:
     """One encoder per Python worker, shared by the tasks that it runs."""
-    gc.disable()  # its memories hold no cycles, and walking them costs more than encoding
-    return WordEncoder(tokenizer_path)
+    return WordEncoder(tokenizer_path, dtype)
 
 
 def write_ids(
@@ -232,6 +231,7 @@ def write_ids(
     n = files or shuffle_width(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = width_for(max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1))
+    stored = f"<u{2 if width <= 16 else 4}"
     if folder is None:
         use_checkpoint_dir(spark)
         folder = f"{spark.sparkContext.getCheckpointDir()}/packed-{uuid.uuid4().hex}"
@@ -241,22 +241,19 @@ def write_ids(
     borders = np.asarray(borders, np.float64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
-        stored = np.dtype(f"<u{2 if width <= 16 else 4}")
+        encoder, end = encoder_of(tokenizer_path, stored), np.asarray([end_id], stored).tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             for k in range(0, len(batch), 256):
                 ids = doc_ids.slice(k, 256)
                 found = [e + end for e in encoder.encode(texts.slice(k, 256).to_pylist())]
-                kept = [np.frombuffer(f, "<u4").astype(stored).tobytes() for f in found]
                 keys = np.asarray([-np.inf if i is None else i for i in ids.to_pylist()], np.float64)
                 file = np.searchsorted(borders, keys, side="right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file), ids, pa.array(kept, pa.binary())], names=["file", "doc_id", "ids"]
+                    [pa.array(file), ids, pa.array(found, pa.binary())], names=["file", "doc_id", "ids"]
                 )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stored = np.dtype(f"<u{2 if width <= 16 else 4}")
         rows = (
             row
             for batch in batches
@@ -270,7 +267,7 @@ def write_ids(
             with fs.open_output_stream(own) as sink:
                 writer = PackedWriter(sink, width)
                 for _, doc_id, ids in group:
-                    writer.add(doc_id, np.frombuffer(ids, stored).astype(np.uint32))
+                    writer.add(doc_id, np.frombuffer(ids, stored))
                 writer.close()
             fs.move(own, path)
             yield pa.RecordBatch.from_pylist(

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -158,8 +157,10 @@ def random_spans(text: str, base: list[tuple[int, int, str]], scorer: TokenEffic
     for m in RUN.finditer(text):
         while k < len(merged) and merged[k][1] <= m.start():
             k += 1
-        inside = itertools.takewhile(lambda s: s[0] < m.end(), itertools.islice(merged, k, None))
-        for start, end in uncovered(*m.span(), list(inside)):
+        last = k
+        while last < len(merged) and merged[last][0] < m.end():
+            last += 1
+        for start, end in uncovered(*m.span(), merged[k:last]):
             out += [(start + a, start + b, "random") for a, b in random_in(text[start:end], scorer)]
     return out
 

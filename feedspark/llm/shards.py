@@ -13,7 +13,7 @@ which a cut may still fall are split by one more byte, until both passes agree t
 A group larger than an even share of what is left would starve its neighbours, so such groups (fewer
 than the number of shards) get a shard each and the rest is divided over the remaining shards.
 
-Defined results.  A null text counts no bytes and its rows are one group, as are all empty texts.
+Defined results.  A null text counts no bytes, has no checksum (null) and its rows are one group, as are all empty texts.
 Rows are placed one by one, so repeated rows are kept and get slots of their own.  Within a shard
 slots follow doc_id (null first), then size and checksum; equal rows are interchangeable.  An empty
 table gives no row.  A single row of any length is one group at least.

@@ -236,6 +236,37 @@ def test_embedding_links_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_vector_ids_are_counted_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    a, b, c = rng.standard_normal((3, 48))
+    near = [v + 0.05 * rng.standard_normal(48) for v in (a, b, c)]
+    given = [(7, a, "x"), (7, b, "x"), (7, c, "y"), (8, near[0], "x"), (9, near[1], "x"), (11, near[2], "y"), (11, near[2], "y")]
+    df = spark.createDataFrame([(i, [float(x) for x in v], c) for i, v, c in given], "vec_id long, embedding array<double>, label string")
+    found = collections.Counter(map(tuple, embeddings.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert found == collections.Counter(
+        {(7, 1, 7, True): 2, (7, 2, 7, True): 1, (8, 1, 7, False): 1, (9, 1, 7, False): 1, (11, 2, 7, False): 2}
+    )
+
+
+def test_cosines_are_estimated_without_bias_and_within_the_bound():
+    rng = np.random.default_rng(9)
+    for dim in (20, 256, 300):
+        x = rng.standard_normal((3000, dim))
+        y = x + rng.standard_normal((3000, dim)) * rng.uniform(0, 1, (3000, 1))
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+        cosine = np.einsum("ij,ij->i", x, y)
+        one, two = embeddings.encode_vectors(x), embeddings.encode_vectors(y)
+        guess = embeddings.estimate(one.signs, one.factor, two.rounded, two.scale)
+        assert abs(float((guess - cosine).mean())) < 0.002
+        right = cosine >= embeddings.THRESHOLD
+        bound = embeddings.error_bound(one.factor, two.scale, embeddings.code_bits(dim), embeddings.THRESHOLD)
+        assert right.sum() > 300 and (guess + bound >= embeddings.THRESHOLD)[right].all()
+        bits, factor = embeddings.code_bits(dim), one.factor
+        spread = np.sqrt((1 - factor**2) * np.clip(1 - cosine**2, 0, None) / (bits - 1) + two.scale**2 / 12) / factor
+        far = cosine + embeddings.SURE * spread + bound < embeddings.THRESHOLD
+        assert far.sum() > 100 and not (guess + bound >= embeddings.THRESHOLD)[far].any()
+
+
 def test_packed_ids_round_trip(docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
