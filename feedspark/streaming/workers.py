@@ -7,6 +7,7 @@ driver or executor replaces what it wrote before.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,12 @@ def ingest_batch(
     spark = attempts.sparkSession
     known = without_epoch(stored_articles(spark, root), "ingest", epoch)
 
-    def stage(entries: DataFrame) -> DataFrame:
-        entries.write.mode("overwrite").parquet(f"{root}/staging/ingest")
-        return spark.read.schema(entries.schema).parquet(f"{root}/staging/ingest")
+    steps = itertools.count()
+
+    def stage(rows: DataFrame) -> DataFrame:
+        target = f"{root}/staging/ingest-{next(steps)}"
+        rows.write.mode("overwrite").parquet(target)
+        return spark.read.schema(rows.schema).parquet(target)
 
     run = ingest_run(attempts, source_config, domains, known.select(*ARTICLES.names), now, stage=stage)
     target = write_epoch(run.articles, root, "articles", "ingest", epoch)

@@ -134,6 +134,14 @@ def test_prefixes_entities_and_breaks_cost_no_whole_item(spark):
     assert {r.source_id: r.lost for r in warnings.collect()} == {"cut": 1, "middle": 1, "open": 1, "atom": 1}
 
 
+def test_documents_are_read_once(spark):
+    found, warnings = parse_feeds(attempts(spark, [{"source_id": "whole", "body": RSS}, {"source_id": "bad", "body": "<rss><cha"}]))
+    for result in (found, warnings):
+        plan = result._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "from_xml" not in plan and "regexp" not in plan and "rlike" not in plan
+    assert [r.source_id for r in warnings.collect()] == ["bad"]
+
+
 def test_unknown_reader_type():
     with pytest.raises(KeyError):
         ReaderRegistry().get("website")
