@@ -106,7 +106,8 @@ def similar_in_batch(batches: DataFrame, texts: DataFrame, threshold: float) ->
     Candidates share one of each other's leading words in a fixed order (long words first, because
     they are rare): two sets that overlap enough must share a word among the first
     ``n - ceil(threshold * n) + 1``, so nothing is missed and no batch is paired with itself in
-    full.  A batch is bounded by the batch size.
+    full.  Candidates whose sizes, or whose words from the first shared one on, leave the threshold out of reach
+    are dropped before any word set is moved.  A batch is bounded by the batch size.
     """
     tokens = F.array_distinct(F.split(F.lower(utrim(F.col("text"))), rf"(?U){WS}+", -1))
     rare_first = F.transform(
@@ -115,24 +116,34 @@ def similar_in_batch(batches: DataFrame, texts: DataFrame, threshold: float) ->
     sets = set_aside(
         batches.join(texts, "article_id").select("batch_id", "article_id", rare_first.alias("words"))
     )
-    n = F.size("words")
-    needed = F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
-    leading = sets.filter(n > 0).select(
-        "batch_id", "article_id", F.explode(F.slice("words", 1, n - needed + 1)).alias("word")
+    t, n = F.lit(threshold), F.size("words")
+    needed = F.ceil(n * t - F.lit(1e-9)).cast("int")
+    leading = (
+        sets.filter(n > 0)
+        .select("batch_id", "article_id", n.alias("n"), F.posexplode(F.slice("words", 1, n - needed + 1)).alias("at", "word"))
+        .select(F.xxhash64("batch_id", "word").alias("key"), "batch_id", "article_id", "n", "at")
     )
-    other = leading.withColumnRenamed("article_id", "other_id")
+    # Both sides are one table, so that its rows are shuffled once.  Two words under one key only add a candidate.
+    met = leading.alias("l").join(
+        leading.alias("r"),
+        (F.col("l.key") == F.col("r.key")) & (F.col("l.batch_id") == F.col("r.batch_id"))
+        & (F.col("l.article_id") < F.col("r.article_id"))
+        & (F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * t - F.lit(1e-9)),
+    )
+    # What two sets share starts at the first shared word in both.
+    left_over = F.least(F.min("l.n") - F.min("l.at"), F.min("r.n") - F.min("r.at"))
     pairs = (
-        leading.join(other, ["batch_id", "word"]).filter(F.col("article_id") < F.col("other_id"))
+        met.groupBy(F.col("l.batch_id"), F.col("l.article_id"), F.col("r.article_id").alias("other_id"))
+        .agg(left_over.alias("most"), (F.min("l.n") + F.min("r.n")).alias("both"))
+        .filter(F.col("most") * (1 + t) >= F.col("both") * t - F.lit(1e-6))
         .select("batch_id", "article_id", "other_id")
-        .distinct()
     )
-    left = sets.select("article_id", F.col("words").alias("a"))
-    right = sets.select(F.col("article_id").alias("other_id"), F.col("words").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    total = F.size("a") + F.size("b") - shared
+    shared = F.size(F.array_intersect("a.words", "b.words"))
+    total = F.size("a.words") + F.size("b.words") - shared
     return (
-        pairs.join(left, "article_id")
-        .join(right, "other_id")
-        .select("batch_id", "article_id", "other_id", shared.alias("shared"), total.alias("total"))
-        .filter(F.col("shared") >= F.col("total") * F.lit(threshold) - F.lit(1e-9))
+        pairs.alias("p")
+        .join(sets.alias("a"), (F.col("p.batch_id") == F.col("a.batch_id")) & (F.col("p.article_id") == F.col("a.article_id")))
+        .join(sets.alias("b"), (F.col("p.batch_id") == F.col("b.batch_id")) & (F.col("p.other_id") == F.col("b.article_id")))
+        .select("p.batch_id", "p.article_id", "p.other_id", shared.alias("shared"), total.alias("total"))
+        .filter(F.col("shared") >= F.col("total") * t - F.lit(1e-9))
     )

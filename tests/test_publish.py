@@ -157,6 +157,23 @@ def test_similar_pairs_equal_brute_force(spark):
         assert got == want
 
 
+def test_similar_pairs_of_an_article_in_two_batches(spark):
+    batches = spark.createDataFrame([("b1", 1), ("b1", 2), ("b2", 1), ("b2", 2), ("b2", 3)], "batch_id string, article_id long")
+    texts = spark.createDataFrame([(1, "one two three"), (2, "One two three four"), (3, "five six")], "article_id long, text string")
+    found = sorted(map(tuple, similar_in_batch(batches, texts, 0.5).collect()))
+    assert found == [("b1", 1, 2, 3, 4), ("b2", 1, 2, 3, 4)]
+
+
+def test_similar_pairs_leave_out_what_cannot_reach_the_threshold(spark):
+    # The longest word is shared and the sizes are alike, but nothing else can be.
+    batches = spark.createDataFrame([("b", n) for n in range(2)], "batch_id string, article_id long")
+    texts = spark.createDataFrame(
+        [(n, "commonest " + " ".join(f"w{n}{k}" for k in range(9))) for n in range(2)], "article_id long, text string"
+    )
+    found = similar_in_batch(batches, texts, 0.5)
+    assert found.isEmpty() and "least(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_schema_repair(spark, now):
     old = articles(spark, [{}, {"telegram_message_id": 9}, {"publication_status": "published"}]).drop("editorial_status", "final_text")
     got = evolve_articles(old, now)
