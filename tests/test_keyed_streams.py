@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from feedspark.catalog.streams import files_in_parts
 from feedspark.operators.decisions import batch_decisions, match_results
 from feedspark.operators.state import apply_decisions, current_states
 from feedspark.schemas import STATES
@@ -161,3 +162,12 @@ def test_packed_request_holds_whole_states(spark):
     batches = spark.createDataFrame([("b", "a0"), ("b", "a1")], "batch_id string, article_id string")
     row = editorial.asked_requests(batches, states, minute(0)).first()
     assert [json.loads(x)["id"] for x in row.articles] == ["a0", "a1"]
+
+
+@pytest.mark.parametrize("count", [1, 6, 40])
+def test_a_log_of_many_files_is_followed_in_few_micro_batches(spark, tmp_path, count):
+    root = str(tmp_path)
+    spark.range(count).repartition(count).select(F.col("id").cast("string").alias("id")).write.parquet(f"{root}/states/step=ingest/epoch=0")
+    landed = stored_states(spark, root)
+    per_batch = files_in_parts(landed, 3)
+    assert per_batch >= 1 and -(-len(landed.inputFiles()) // per_batch) <= 3
