@@ -250,7 +250,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED)
     fold = F.floor(checksum(F.col("doc_id")) / 4) % 5
     named = F.when(fold < 2, F.lit("lexicon")).when(fold < 4, F.lit("trees")).otherwise(F.lit("curve"))
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    return joined.select("text", "toxic", named.alias("fold"))
+    return joined.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", named.alias("fold"))
 
 
 def rising(share: Sequence[float], weight: Sequence[float]) -> list[float]:
