@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark.functions.text import bind
-from feedspark.llm.common import words_of
+from feedspark.llm.common import free_name, words_of
 from feedspark.operators.ranking import null_safe_join, ordered_rank
 from feedspark.session import set_aside
 
@@ -129,14 +129,28 @@ def round_units(units: DataFrame, seed: int) -> DataFrame:
         units, level = left, level + 1
 
 
+def _with_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its rows apart: doc_id, or a number written beside the rows."""
+    doubtful = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 or doc_id is null")
+    if doubtful.isEmpty():
+        return docs, "doc_id"
+    key = free_name(docs.columns, "_row")
+    return set_aside(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def mix_sources(docs: DataFrame, keep: Sequence[str] = ("doc_id",), seed: int = 17) -> DataFrame:
-    """``keep`` columns of each row, source, size, source_size, target, copies and words taken."""
-    text = F.col("text").cast("string")
-    extra = [c for c in keep if c not in ("source", "doc_id")]
-    sized = docs.select("doc_id", *extra, F.col("source").cast("string").alias("source"), F.size(words_of(text)).cast("long").alias("size"))
-    order = [F.col("size").desc(), F.col("doc_id").asc_nulls_first()]
+    """``keep`` columns of each row, source, size, source_size, target, copies and words taken.
+
+    Rows are ranked and rounded without their other columns, which meet the result in one join at the end.
+    """
+    extra = [c for c in dict.fromkeys(keep) if c not in ("source", "doc_id")]
+    rows, key = _with_key(docs) if extra else (docs, "doc_id")
+    names, source = list(dict.fromkeys(["doc_id", key])), F.col("source").cast("string").alias("source")
+    size = F.size(words_of(F.col("text").cast("string"))).cast("long").alias("size")
+    sized = set_aside(rows.select(*names, source, size))
+    order = [F.col("size").desc(), *[F.col(c).asc_nulls_first() for c in names]]
     ranked = ordered_rank(sized, order, within=["source"], name="rn")
-    wanted = set_aside(targets(ranked.select("source", "size")))
+    wanted = set_aside(targets(sized))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     priced = null_safe_join(ranked, wanted, ["source"]).withColumn("_times", times)
     fraction = F.col("_times") - F.floor("_times")
@@ -146,7 +160,10 @@ def mix_sources(docs: DataFrame, keep: Sequence[str] = ("doc_id",), seed: int =
     rounded = round_units(units, seed).filter("up")
     joined = null_safe_join(priced, rounded.withColumn("_up", F.lit(1)).drop("up"), ["source", "rn"], "left")
     copies = F.when(F.col("size") > 0, F.floor("_times") + F.coalesce(F.col("_up"), F.lit(0))).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).select(
-        *dict.fromkeys(["doc_id", "source", *extra]), "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+    results = ["size", "source_size", "target", "copies"]
+    mixed = joined.withColumn("copies", copies.cast("long")).select(
+        *names, "source", *results, (F.col("copies") * F.col("size")).alias("taken")
     )
+    if extra:
+        mixed = rows.select(key, *extra).join(mixed, key)
+    return mixed.select("doc_id", "source", *extra, *results, "taken")

@@ -122,6 +122,32 @@ def test_mixing_reaches_the_targets_and_reruns_agree(docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixing_ranks_without_texts_and_joins_them_once(spark, docs, monkeypatch):
+    ranked, kept_aside = [], []
+    rank, aside = mixing.ordered_rank, mixing.set_aside
+    monkeypatch.setattr(mixing, "ordered_rank", lambda df, *a, **k: ranked.append(df.columns) or rank(df, *a, **k))
+    monkeypatch.setattr(mixing, "set_aside", lambda df: kept_aside.append(df.columns) or aside(df))
+    plain = docs.select("doc_id", "text", "source")
+    doubtful = plain.union(plain.filter("doc_id % 5 = 0")).union(plain.selectExpr("cast(null as long)", "concat(text, ' z')", "source"))
+    for given, unique in ((plain, True), (doubtful, False)):
+        ranked.clear(), kept_aside.clear()
+        mixed = mixing.mix_sources(given, ["doc_id", "text", "source"])
+        assert mixed.columns == ["doc_id", "source", "text", "size", "source_size", "target", "copies", "taken"]
+        rows = mixed.collect()
+        assert sorted((r.doc_id or -1, r.text or "", r.source or "") for r in rows) == sorted(
+            (r.doc_id or -1, r.text or "", r.source or "") for r in given.collect()
+        )
+        assert all(r.size == len(words(r.text)) and r.taken == r.copies * r.size for r in rows)
+        bare = mixing.mix_sources(given).collect()
+        total, least = collections.Counter(), collections.defaultdict(int)
+        for r in rows:
+            total[r.source] += r.taken
+            least[r.source] = max(least[r.source], r.size)
+        assert all(abs(total[r.source] - r.target) <= least[r.source] for r in rows) and len(bare) == len(rows)
+        assert not any("text" in c for c in ranked)
+        assert sum("text" in c for c in kept_aside) == (0 if unique else 1)
+
+
 def test_rounding_keeps_the_mass_and_the_expectation(spark):
     units = [("a", k + 1, float(50 + k % 7), 0.3) for k in range(500)]
     df = spark.createDataFrame(units, "source string, rn long, w double, p double")
