@@ -7,10 +7,10 @@
 2. What is left are different cells with a common anchor, mostly the edges of shared passages.  Their
    bytes are collected per anchor in buckets of bounded size.  A bucket is cut into shards; each shard
    gets a Burrows-Wheeler transform of its own, and the transforms are merged by refining their
-   interleave: in round h the merged order is right for the first h bytes, because sorting the symbols of the
-   present order stably prepends one byte to every suffix.  Borders between suffixes whose first h
-   bytes differ are carried along, so after 100 rounds the stretches without a border are the repeated
-   intervals, and no suffix of the bucket was sorted anew.
+   interleave: after round h the merged order is right for the first h symbols, because sorting the symbols of the
+   present order stably prepends one symbol to every suffix.  A symbol is the five bytes before a suffix, so 20 rounds
+   reach 100 bytes.  Borders between suffixes whose first bytes differ are carried along, so after the last round
+   the stretches without a border are the repeated intervals, and no suffix of the bucket was sorted anew.
 3. An anchor with more than ``HOT_CELLS`` different cells would make a bucket too large.  Its windows are
    compared one by one through a mergeable minimum over two 64-bit hashes.
 
@@ -25,6 +25,7 @@ ignored.  Long texts are read in overlapping chunks.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ PLACE = np.uint64(24)
 HOT_CELLS = 2048
 BUCKET_BYTES = 1 << 18
 SHARD_BYTES = 1 << 15
+STEP = 5  # bytes that one round of a merge prepends
+PACKED = 7  # codes of nine bits in 63 bits
 
 CELLS = "kind int, route long, cell long, doc_id long, key long, lo long, n int"
 
@@ -164,49 +167,74 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None if shared[-1] else (anchor[k], cell[k], doc[k], key[k], lo[k], n[k])
 
 
-def suffix_order(codes: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols; the ends of strings are unique and smallest."""
-    rank = codes.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    order, have = np.argsort(rank, kind="stable"), 1
-    while have < depth:
-        second = np.full(len(rank), -1, np.int64)
-        second[: len(rank) - have] = rank[have:]
-        key = rank * (len(rank) + 300) + second
+def packed(codes: np.ndarray, shifts: range) -> np.ndarray:
+    """The codes at these distances from each place as one number, nine bits each; what follows an end is 0 like the end.
+
+    Distances go round the ends of ``codes``.
+    """
+    out, inside = np.zeros(len(codes), np.int64), np.ones(len(codes), bool)
+    for shift in shifts:
+        code = np.roll(codes, -shift)
+        inside &= code > 0
+        out = out << 9 | np.where(inside, code, 0)
+    return out
+
+
+def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first ``depth`` codes; the ends of strings (0) are unique and smallest."""
+    have = min(depth, PACKED)
+    key = packed(codes, range(have))
+    order = np.argsort(key, kind="stable")  # equal codes up to an end: in the order of the ends
+    ordered = key[order]
+    new = ordered & 511 == 0
+    new[1:] |= ordered[1:] != ordered[:-1]
+    while True:
+        rank = np.empty(len(codes), np.int64)
+        rank[order] = np.cumsum(new)
+        if have >= depth or new[1:].all():
+            return order
+        second = np.zeros(len(rank), np.int64)
+        second[: max(len(rank) - have, 0)] = rank[have:]
+        key = rank * (len(rank) + 1) + second
         order = np.argsort(key, kind="stable")
         ordered = key[order]
-        rank = np.empty(len(rank), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+        new = np.ones(len(order), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
         have *= 2
-    return order
 
 
-def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of a shard (0 is the end of a string, bytes count from 1), and its suffix places."""
+def transform(strings: list[bytes], step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transform of a shard, and its suffix places.
+
+    A symbol is the ``step`` codes in front of a suffix (0 is the end of a string, bytes count from 1).
+    """
     text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8)
-    ends = np.cumsum([len(s) + 1 for s in strings]) - 1
     codes = text.astype(np.uint16) + 1
-    codes[ends] = 0
-    order = suffix_order(codes, ends, LENGTH)
-    return codes[order - 1], order  # the symbol before a string's first is an end
+    codes[np.cumsum([len(s) + 1 for s in strings]) - 1] = 0
+    order = suffix_order(codes, LENGTH)
+    return packed(codes, range(-step, 0))[order], order
 
 
 def repeated_intervals(shards: list[list[bytes]], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Places in the joined text of all shards, and which share their first ``depth`` bytes, in merged order."""
-    built = [transform(s) for s in shards]
+    step = math.gcd(depth, STEP)
+    built = [transform(s, step) for s in shards]
     sizes = [len(b) for b, _ in built]
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     source = np.repeat(np.arange(len(built), dtype=np.uint16), sizes)  # stable sorts of 16 bits are radix sorts
-    all_symbols = np.concatenate([b for b, _ in built])
-    symbols = np.empty(offsets[-1], np.uint16)
+    kinds, all_symbols = np.unique(np.concatenate([b for b, _ in built]), return_inverse=True)
+    all_symbols = all_symbols.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
+    ended = kinds & 511 == 0
+    symbols = np.empty_like(all_symbols)
     group = np.zeros(offsets[-1], np.int32)
-    for _ in range(depth):
+    for _ in range(depth // step):
         # Each shard is consumed in its own order, whatever the interleave.
         symbols[np.argsort(source, kind="stable")] = all_symbols
         order = np.argsort(symbols, kind="stable")
         source, ordered, before = source[order], symbols[order], group[order]
-        border = np.ones(len(order), bool)
-        border[1:] = (ordered[1:] != ordered[:-1]) | (before[1:] != before[:-1]) | (ordered[1:] == 0)
+        border = ended[ordered]
+        border[0] = True
+        border[1:] |= (ordered[1:] != ordered[:-1]) | (before[1:] != before[:-1])
         group = np.cumsum(border, dtype=np.int32)
         if group[-1] == len(group):
             break
@@ -226,6 +254,9 @@ def _bucket_removals(strings: list[bytes], docs: np.ndarray, los: np.ndarray) ->
         shards[-1].append(s)
         size += len(s) + 1
     places, group = repeated_intervals(shards)
+    same = np.concatenate([[False], group[1:] == group[:-1], [False]])
+    repeated = same[1:] | same[:-1]
+    places, group = places[repeated], group[repeated]
     starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
     string = np.searchsorted(starts, places, side="right") - 1
     offset = places - starts[string]

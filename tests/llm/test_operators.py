@@ -384,6 +384,26 @@ def test_merged_transforms_find_repeats():
     assert {frozenset(v) for v in want.values() if len(v) > 1} == {frozenset(v) for v in found.values() if len(v) > 1}
 
 
+def test_merges_of_symbols_of_several_bytes_find_what_single_bytes_find(monkeypatch):
+    rng = random.Random(8)
+    base = [bytes(rng.choices([0, 1, 97, 255], k=120)) for _ in range(4)] + [b"a" * 150, bytes(110)]
+    strings = [b[k % 3 :] + bytes(rng.choices([0, 97, 255], k=k % 6)) for k in range(20) for b in base if rng.random() < 0.5]
+    docs, los = (np.asarray([rng.randint(0, n) for _ in strings]) for n in (6, 400))
+    first = {}
+    windows = [(i, o, strings[i][o : o + 100], (docs[i], los[i] + o)) for i in range(len(strings)) for o in range(len(strings[i]) - 99)]
+    for _, _, data, place in windows:
+        first[data] = min(first.get(data, place), place)
+    want = sorted((i, o) for i, o, data, place in windows if first[data] != place)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 500)
+    rounds, built = [], substrings.transform
+    monkeypatch.setattr(substrings, "transform", lambda s, step: rounds.append(100 // step) or built(s, step))
+    for step in (1, 4, 5):
+        monkeypatch.setattr(substrings, "STEP", step)
+        string, offset = substrings._bucket_removals(strings, docs, los)
+        assert want and sorted(zip(string.tolist(), offset.tolist(), strict=True)) == want
+    assert set(rounds) == {100, 25, 20}
+
+
 def test_secrets(docs, empty):
     import public_tokenizers
 
