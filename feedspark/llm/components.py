@@ -27,15 +27,16 @@ def components(links: DataFrame) -> DataFrame:
             .groupBy("b")
             .agg(F.min("component").alias("_near"))
         )
-        lower = labels.join(near, labels["id"] == near["b"]).select(
-            "id", F.col("component").alias("_old"), F.least("component", "_near").alias("component")
+        # Written before the jumps: they join it with itself, and would plan and run all above once for each side.
+        lower = set_aside(
+            labels.join(near, labels["id"] == near["b"]).select(
+                "id", F.col("component").alias("_old"), F.least("component", "_near").alias("component")
+            )
         )
+        # Nothing lowered: both ends of every link have one label, so jumps change nothing either.
+        if lower.filter(F.col("component") != F.col("_old")).isEmpty():
+            return lower.select("id", "component")
         for _ in range(2):
             target = lower.select(F.col("id").alias("_to"), F.col("component").alias("_then"))
-            lower = lower.join(target, lower["component"] == target["_to"]).select(
-                "id", "_old", F.col("_then").alias("component")
-            )
-        lower = set_aside(lower)
-        labels = lower.select("id", "component")
-        if lower.filter(F.col("component") != F.col("_old")).isEmpty():
-            return labels
+            lower = lower.join(target, lower["component"] == target["_to"]).select("id", F.col("_then").alias("component"))
+        labels = set_aside(lower)

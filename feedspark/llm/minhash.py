@@ -110,7 +110,8 @@ def near_enough(a: str, b: str) -> Column:
     x, y = F.col(a), F.col(b)
     u = F.when(x["level"] >= y["level"], x["sketch"]).otherwise(x["coarse"])
     v = F.when(y["level"] >= x["level"], y["sketch"]).otherwise(y["coarse"])
-    ones = sum((F.bit_count(F.get(u, k).bitwiseXOR(F.get(v, k))) for k in range(SKETCH_WORDS)), F.lit(0))
+    unequal = F.zip_with(u, v, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    ones = F.aggregate(unequal, F.lit(0), lambda n, more: n + more)
     level = F.greatest(x["level"], y["level"])
     most = (x["n"] + y["n"]) * ((1 - THRESHOLD) / (1 + THRESHOLD)) / F.pow(F.lit(2.0), level)
     allowed = most + F.when(level > 0, SURE * F.sqrt(most)).otherwise(1e-6)
@@ -197,8 +198,12 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the same ``classes`` (id, digest, doc_id, bands, s) as all links do."""
+def link_classes(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (id, component) of ``classes`` (id, digest, doc_id, bands, s) that the heads join, and all links (a, b) between groups.
+
+    Heads, candidates and what is left open are narrow tables that are written in between, so that each plan is small and nothing
+    is planned twice: with each of its stages the driver writes out a plan anew, and each broadcast in it costs it some megabytes.
+    """
     every = classes.select("id", "doc_id", F.explode("bands").alias("key"))
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
     placed = set_aside(every.join(shared, "key").withColumn("component", F.col("id")))
@@ -206,11 +211,13 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sketches = classes.select("id", "s")
     sets = set_aside(_sets(docs, classes.join(labels, "id", "left_semi").select("id", "digest", "doc_id")))
 
-    for turn in range(STAR_ROUNDS):
+    for turn in range(STAR_ROUNDS + 1):
         # In each band one row is the head: first the smallest doc_id, then another one by chance in each round.
         # A band whose rows are in one group already stays so and leaves.
         lot = F.col("doc_id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        heads = mixed_bands(placed, F.min(F.struct(lot.alias("lot"), "id", "component")).alias("h"))
+        heads = set_aside(mixed_bands(placed, F.min(F.struct(lot.alias("lot"), "id", "component")).alias("h")))
+        if turn == STAR_ROUNDS:
+            break
         asked = (
             placed.join(heads, "key").filter(F.col("component") != F.col("h.component"))
             .groupBy("id", F.col("h.id").alias("a"))
@@ -222,10 +229,12 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
             asked.groupBy("id", "cb").agg(best.alias("best"))
             .select(F.col("id").alias("b"), "cb", F.explode("best").alias("h")).select("h.a", "b", "h.ca", "cb")
         )
-        near = (
+        near = set_aside(
             pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
             .filter(near_enough("sa", "sb")).select("a", "b", "ca", "cb")
         )
+        if near.isEmpty():
+            break
         links = set_aside(confirm(near, sets))
         if links.isEmpty():
             break
@@ -238,17 +247,20 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         still = placed.join(heads.select("key"), "key", "left_semi").select("id", "key")
         placed = set_aside(still.join(labels, "id"))
 
-    open_rows = placed.join(mixed_bands(placed).select("key"), "key").join(classes.select("id", "bands", "s"), "id")
+    # Heads and places belong together here: the loop ends before it changes the places.
+    narrow = set_aside(placed.join(heads.select("key"), "key", "left_semi").select("key", "id", "component"))
+    open_rows = narrow.join(classes.select("id", "bands", "s"), "id")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     # The sketches decide inside the join, and a pair comes up in the first of its common bands only.
-    cross = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.component") != F.col("y.component")) & near_enough("x.s", "y.s")
-        & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    stars = labels.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-    return stars.union(set_aside(confirm(cross, sets)))
+    cross = set_aside(
+        x.join(
+            y,
+            (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
+            & (F.col("x.component") != F.col("y.component")) & near_enough("x.s", "y.s")
+            & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")),
+        ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    )
+    return labels.select("id", "component"), cross if cross.isEmpty() else confirm(cross, sets)
 
 
 def mixed_bands(placed: DataFrame, *more: Column) -> DataFrame:
@@ -274,8 +286,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Texts that share a doc_id tie their classes together.
     tied = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_z")).filter("a < _z")
     same = named.join(tied, "doc_id").select("a", F.col("id").alias("b")).filter("a <> b")
-    found = components(link_classes(docs, classes).union(same))
-    grouped = named.join(found, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    groups, links = link_classes(docs, classes)
+    more = set_aside(links.union(same))
+    if not more.isEmpty():
+        stars = groups.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+        groups = components(stars.union(more))
+    grouped = set_aside(named.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component")))
     smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     # All classes of a doc_id are in one component.
     of_doc = grouped.groupBy("doc_id").agg(F.first("component").alias("component")).join(smallest, "component").drop("component")

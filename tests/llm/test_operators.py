@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -14,8 +15,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedspark.llm import (
-    catalog, common, embeddings, minhash, mixing, packed_ids, pieces, preferences, quality, secrets, shards, substrings,
+    catalog, common, components, embeddings, minhash, mixing, packed_ids, pieces, preferences, quality, secrets, shards, substrings,
 )
+from feedspark.session import set_aside
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int, kept string, Shard int, size string"
 TOKENS = catalog.vocabulary
@@ -535,6 +537,45 @@ def test_near_duplicates_around_the_threshold(spark, monkeypatch):
     assert sum(asked) < 260 * 259 / 2 / 10
 
 
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_near_duplicates_whatever_the_heads_leave_open(spark, monkeypatch, rounds):
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        text = list(base)
+        for at in rng.sample(range(60), 2):
+            text[at] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", rounds)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_by_hand(rows)
+
+
+def test_plans_of_near_duplicates_stay_small(docs, monkeypatch):
+    """The driver writes out a plan with each of its stages and holds each broadcast: no plan of many joins, no join planned twice."""
+    joins = []
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return set_aside(df)
+
+    monkeypatch.setattr(minhash, "set_aside", counted)
+    monkeypatch.setattr(components, "set_aside", counted)
+    minhash.near_duplicates(docs).count()
+    assert max(joins) <= 4 and sum(joins) <= 30
+
+
+def test_components_of_chains_rings_and_stars(spark):
+    rng = random.Random(3)
+    chain, ring, star = (rng.sample(range(a, a + 1000), n) for a, n in ((0, 90), (1000, 31), (2000, 40)))
+    links = [*itertools.pairwise(chain), *itertools.pairwise([*ring, ring[0]]), *((star[0], x) for x in star[1:]), (5000, 5000)]
+    want = {x: min(group) for group in (chain, ring, star, [5000]) for x in group}
+    rng.shuffle(links)
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.id: r.component for r in found.collect()} == want
+
+
 @pytest.mark.parametrize("size", [40, 500, 700, 3000, 20_000])
 def test_odd_sketches_keep_pairs_at_the_threshold(spark, size):
     rng = np.random.default_rng(size)
