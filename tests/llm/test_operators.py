@@ -97,6 +97,22 @@ def test_mcd_estimate_finds_the_clean_centre(spark):
     assert np.allclose(core.mean(0), [fit.m_0, fit.m_1, fit.m_2, fit.m_3], atol=0.01)
 
 
+def test_mcd_starts_at_their_end_are_not_stepped_again(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{k}", *map(float, v)) for k in range(4) for v in rng.normal(1.0, 0.2, (60 << (2 * k), 4))]
+    stepped, fit = [], quality._fit
+
+    def counted(rows, key, factor):
+        if "start" in key:
+            stepped.append(rows.select("grp", "start").distinct().count())
+        return fit(rows, key, factor)
+
+    monkeypatch.setattr(quality, "_fit", counted)
+    found = quality.estimate(spark.createDataFrame(rows, "grp string, f0 double, f1 double, f2 double, f3 double"))
+    assert sorted(r.grp for r in found.collect()) == ["g0", "g1", "g2", "g3"]
+    assert stepped[0] == 12 and stepped == sorted(stepped, reverse=True) and stepped[-1] < 12
+
+
 def plain_targets(size, weight, most=3):
     total, capped = sum(size.values()), set()
     while True:
